@@ -23,3 +23,10 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     skew handling is left to the optimizer."""
     few = df.select(F.lit(1)).limit(rows + 1).count() <= rows
     return F.broadcast(df) if few else df
+
+
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """Before slow per-row Python: spreads the rows of an input with fewer files than cores.
+    A large input has more, and is left where it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

@@ -21,7 +21,7 @@ def assign_ids(names: DataFrame, stations: DataFrame, column: str = "name") -> D
     Exact repeats collapse first, so only distinct spellings are compared in the collation. New
     names are numbered in name order after the highest id, over all tasks.
     """
-    spelled = (
+    spelled = durable(
         names.select(station_name(F.col(column)).alias("name")).filter("name != ''").distinct())
     one_each = spelled.groupBy(folded(F.col("name")).alias("_folded")).agg(F.min("name").alias("name"))
     known = stations.select(folded(F.col("name")).alias("_known"))

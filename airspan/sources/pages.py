@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from airspan.functions.numbers import commas_to_dots_if_digits, commas_to_dots_if_number
+from airspan.operators.sizing import spread_if_few
 from airspan.schemas import RAW_COLUMNS, RAW_POLLUTANTS, name_col
 
 # Fixed value: the word in the bold label next to the station name.
@@ -140,8 +141,13 @@ def _parse_stations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def table_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, station, row_no, n_cells, blank, c0..c7): the table rows as they stand."""
-    return pages.select("page_id", "html").mapInPandas(_parse_rows, _ROW_SCHEMA)
+    """(page_id, station, row_no, n_cells, blank, c0..c7): the table rows as they stand.
+
+    A page without the word of the content area or without a table has no rows, so it is not
+    sent to Python at all.
+    """
+    likely = pages.filter(F.col("html").contains("content") & F.col("html").rlike("(?i)<table"))
+    return spread_if_few(likely.select("page_id", "html")).mapInPandas(_parse_rows, _ROW_SCHEMA)
 
 
 def parse_pages(pages: DataFrame, first_only: bool = False) -> DataFrame:
@@ -163,5 +169,8 @@ def parse_pages(pages: DataFrame, first_only: bool = False) -> DataFrame:
 
 
 def station_of_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, station) of every page; empty text where there is no label."""
-    return pages.select("page_id", "html").mapInPandas(_parse_stations, "page_id long, station string")
+    """(page_id, station) of every page; empty text where there is no label. The text of a page
+    that cannot hold the label is left behind."""
+    html = F.when(F.col("html").rlike("(?i)estaci"), F.col("html")).alias("html")
+    return spread_if_few(pages.select("page_id", html)).mapInPandas(
+        _parse_stations, "page_id long, station string")
