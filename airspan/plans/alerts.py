@@ -176,11 +176,11 @@ def validate_rules(candidates: DataFrame, stations: DataFrame) -> DataFrame:
     return checked.withColumn("reason", reason).select(*candidates.columns, "reason")
 
 
-def typed_rules(accepted: DataFrame) -> DataFrame:
+def typed_rules(accepted: DataFrame, *extra: str) -> DataFrame:
     """Accepted candidates in the types of the rule table, without id and creation time."""
     enabled = F.coalesce(F.col("enabled").try_cast("boolean"), F.lit(True))
     return accepted.select(
-        strip_blanks(F.col("name")).alias("name"), F.col("station_id").try_cast("int").alias("station_id"),
+        *extra, strip_blanks(F.col("name")).alias("name"), F.col("station_id").try_cast("int").alias("station_id"),
         F.lower("pollutant").alias("pollutant"), F.lower("operator").alias("operator"),
         to_number(F.col("threshold")).alias("threshold"), "time_window", enabled.alias("enabled"))
 
