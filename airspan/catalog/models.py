@@ -1,0 +1,134 @@
+"""Queries that train and apply models, with few trees and rounds. They have no SQL twin."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from airspan.catalog.features import frame, multi_frame
+from airspan.catalog.registry import query
+from airspan.models.learners import KNN_MODEL, MULTI_OUTPUT, NEXT_HOUR, Task, fit_model, quick
+from airspan.models.registry import load_models, save_model
+from airspan.models.scoring import (
+    ML_TARGETS, fit_multi, first_real_against_predicted, multi_split, next_hour_split, predict_multi,
+    real_against_predicted, score_multi, score_scenarios, train_multi, train_next_hour,
+)
+from airspan.models.tuning import fit_tuned
+from airspan.plans.features import station_names
+from airspan.session import checkpoint_root
+from airspan.sources import sample
+
+TARGET = "PM2_5_next_hour"
+
+# Prepared rows are made once per session and scale, as all models train on the same ones.
+_prepared: dict = {}
+
+
+def _once(kind: str, spark, sf_dir, make):
+    key = (kind, spark.sparkContext.applicationId, sf_dir)
+    if key not in _prepared:
+        _prepared[key] = make()
+    return _prepared[key]
+
+
+def _stations(spark, sf_dir):
+    return _once("names", spark, sf_dir, lambda: station_names(
+        sample.named_measurements(spark, sf_dir), "Estacion"))
+
+
+def next_hour(spark, sf_dir):
+    return _once("next", spark, sf_dir, lambda: next_hour_split(
+        frame(spark, sf_dir), _stations(spark, sf_dir)))
+
+
+def multi(spark, sf_dir):
+    return _once("multi", spark, sf_dir, lambda: multi_split(multi_frame(spark, sf_dir)))
+
+
+def _slug(name: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "_", re.sub(r"^\d+\. ", "", name).lower()).strip("_")
+
+
+def _train_multi(name: str):
+    return lambda spark, sf_dir: train_multi(multi(spark, sf_dir), [name], small=True)[1]
+
+
+def _train_next(name: str):
+    return lambda spark, sf_dir: train_next_hour(next_hour(spark, sf_dir), [TARGET], [name], small=True)[1]
+
+
+def _tune(name: str, settings: list[dict]):
+    def run(spark, sf_dir):
+        train = next_hour(spark, sf_dir).filter("not is_test")
+        model, best = fit_tuned(name, quick(Task(train, TARGET)), settings)
+        rows = model.transform(next_hour(spark, sf_dir).filter("is_test"))
+        chosen = ", ".join(f"{k}={v}" for k, v in sorted(best.items()))
+        return rows.agg(F.avg(F.abs(F.col(TARGET) - F.col("prediction"))).alias("mae")).withColumn(
+            "setting", F.lit(chosen))
+    return run
+
+
+for _name in [*MULTI_OUTPUT, KNN_MODEL]:
+    query(f"train_multi_{_slug(_name)}")(_train_multi(_name))
+for _name in NEXT_HOUR:
+    query(f"train_next_{_name}")(_train_next(_name))
+
+query("tune_rf")(_tune("rf", [{"trees": 3, "minInstancesPerNode": 1}, {"trees": 3, "minInstancesPerNode": 2}]))
+query("tune_gbr")(_tune("gbr", [{"rounds": 3, "rate": 0.05}, {"rounds": 3, "rate": 0.1}]))
+query("tune_xgb")(_tune("xgb", [{"rounds": 3, "subsamplingRate": 0.8}, {"rounds": 3, "subsamplingRate": 1.0}]))
+
+
+def _multi_tree(spark, sf_dir):
+    return _once("tree", spark, sf_dir, lambda: fit_multi(
+        "1. Decision Tree", multi(spark, sf_dir).filter("not is_test"), small=True))
+
+
+def _next_models(spark, sf_dir):
+    train = next_hour(spark, sf_dir).filter("not is_test")
+    return _once("gbr", spark, sf_dir, lambda: {
+        t: fit_model("gbr_estandar", quick(Task(train, t))) for t in (TARGET, "CO_next_hour")})
+
+
+@query("score_scenarios")
+def score_scenarios_(spark, sf_dir):
+    """A scenario per order: its customer's station at the weekday and month it was placed."""
+    scenarios = sample.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("int").alias("Estacion"),
+        F.pmod("o_orderkey", F.lit(24)).cast("int").alias("hour"),
+        F.weekday("o_orderdate").alias("dayofweek"), F.month("o_orderdate").alias("month"))
+    return score_scenarios(
+        _next_models(spark, sf_dir), scenarios, frame(spark, sf_dir), _stations(spark, sf_dir))
+
+
+@query("score_multi")
+def score_multi_(spark, sf_dir):
+    scenarios = sample.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.pmod("o_orderkey", F.lit(24)).cast("int").alias("Hora_Num"),
+        F.month("o_orderdate").alias("Mes"), F.weekday("o_orderdate").alias("Dia_Semana"),
+        F.col("o_custkey").cast("int").alias("Estacion_Code"))
+    return score_multi(_multi_tree(spark, sf_dir), scenarios)
+
+
+@query("real_vs_pred_multi")
+def real_vs_pred_multi(spark, sf_dir):
+    rows = multi(spark, sf_dir).filter("is_test")
+    predicted = predict_multi(_multi_tree(spark, sf_dir), rows)
+    return real_against_predicted(predicted, "PM10", "pred_PM10")
+
+
+@query("real_vs_pred_next_hour")
+def real_vs_pred_next_hour(spark, sf_dir):
+    return first_real_against_predicted(
+        _next_models(spark, sf_dir)[TARGET], next_hour(spark, sf_dir), TARGET, ["Estacion", "datetime"])
+
+
+@query("saved_models")
+def saved_models(spark, sf_dir):
+    """Saves a model per target, loads them, and scores with the loaded ones."""
+    root = f"{checkpoint_root(spark)}/models-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    for target, model in _multi_tree(spark, sf_dir).items():
+        save_model(spark, root, "tree", target, model)
+    loaded = load_models(spark, root)["tree"]
+    return predict_multi(loaded, multi(spark, sf_dir).filter("is_test")).select(
+        "Estacion", "Fecha", "Hora", *[f"pred_{t}" for t in ML_TARGETS])
