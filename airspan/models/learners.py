@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from math import inf, log
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
@@ -60,6 +61,12 @@ def quick(task: Task, most: int = 3, deepest: int = 4) -> Task:
     return Task(task.train, task.target, task.inputs, most, deepest, task.seed)
 
 
+def side_by_side(work: Callable, items: Sequence, at_once: int = 4) -> list:
+    """Runs independent fits as concurrent Spark jobs, so small ones do not leave the cluster idle."""
+    with ThreadPool(at_once) as pool:
+        return pool.map(work, items)
+
+
 # Single estimators
 
 
@@ -117,7 +124,7 @@ def fit_voting(members: Sequence[str]) -> Fit:
     """Mean of the members' predictions."""
     def fit(task: Task, output: str) -> PipelineModel:
         columns = [f"{output}_v{i}" for i in range(len(members))]
-        models = [NEXT_HOUR[m](task, c) for m, c in zip(members, columns)]
+        models = side_by_side(lambda mc: NEXT_HOUR[mc[0]](task, mc[1]), list(zip(members, columns)))
         return PipelineModel(stages=[*models, _combine(columns, _mean(columns), output)])
     return fit
 
@@ -127,18 +134,26 @@ def fit_stacking(members: Sequence[str], blender: Callable, folds: int = 5) -> F
     blender learns from those predictions. Then the members are trained on all rows."""
     def fit(task: Task, output: str) -> PipelineModel:
         columns = [f"{output}_s{i}" for i in range(len(members))]
+        row = F.col("row_no")
+        folds_of_rows = [(row >= a) & (row < b) for a, b in contiguous_folds(task.train.count(), folds)]
+
+        def fit_member(job) -> PipelineModel:
+            rows, member, column = job
+            return NEXT_HOUR[member](task.on(rows), column)
+
+        named = list(zip(members, columns))
+        jobs = [(task.train.filter(~inside), m, c) for inside in folds_of_rows for m, c in named]
+        jobs += [(task.train, m, c) for m, c in named]
+        fitted = side_by_side(fit_member, jobs)
         parts = []
-        for start, end in contiguous_folds(task.train.count(), folds):
-            inside = (F.col("row_no") >= start) & (F.col("row_no") < end)
-            fold = task.on(task.train.filter(~inside))
-            models = [NEXT_HOUR[m](fold, c) for m, c in zip(members, columns)]
-            rows = PipelineModel(stages=models).transform(task.train.filter(inside))
-            parts.append(rows.select(task.target, *columns))
+        for i, inside in enumerate(folds_of_rows):
+            fold = PipelineModel(stages=fitted[i * len(members):(i + 1) * len(members)])
+            parts.append(fold.transform(task.train.filter(inside)).select(task.target, *columns))
         unseen = durable(reduce(DataFrame.unionByName, parts))
         assembler = VectorAssembler(inputCols=columns, outputCol=f"{output}_in")
         top = blender(task, f"{output}_top").setFeaturesCol(f"{output}_in")
         blended = top.fit(assembler.transform(unseen))
-        models = [NEXT_HOUR[m](task, c) for m, c in zip(members, columns)]
+        models = fitted[-len(members):]
         last = _combine([f"{output}_top"], f"{output}_top", output, [*columns, f"{output}_in"])
         return PipelineModel(stages=[*models, assembler, blended, last])
     return fit

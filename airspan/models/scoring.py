@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from airspan.functions.texts import target_label
 from airspan.models.knn import NearestModel
-from airspan.models.learners import FEATURES, KNN_MODEL, PREDICTION, Task, fit_model, quick
+from airspan.models.learners import (
+    FEATURES, KNN_MODEL, PREDICTION, Task, fit_model, quick, side_by_side,
+)
 from airspan.operators.metrics import multi_output_metrics, regression_metrics
 from airspan.operators.order import first_complete_rows
 from airspan.plans.features import (
@@ -77,7 +79,8 @@ def fit_multi(name: str, train: DataFrame, targets: Sequence[str] = tuple(ML_TAR
     if name == KNN_MODEL:
         return NearestModel.fit(train, MULTI_FEATURES, targets, RAW_KEY, bags=3 if small else 10)
     tasks = {t: Task(train, t, tuple(MULTI_FEATURES)) for t in targets}
-    return {t: fit_model(name, quick(task) if small else task) for t, task in tasks.items()}
+    fitted = side_by_side(lambda task: fit_model(name, quick(task) if small else task), list(tasks.values()))
+    return dict(zip(tasks, fitted))
 
 
 def predict_multi(model, rows: DataFrame, targets: Sequence[str] = tuple(ML_TARGETS)) -> DataFrame:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
-from airspan.models.learners import GRIDS, PREDICTION, Task
+from airspan.models.learners import GRIDS, PREDICTION, Task, side_by_side
 from airspan.plans.features import expanding_folds
 
 
@@ -36,8 +35,7 @@ def grid_scores(
 
     if not bounds:
         return []
-    with ThreadPool(at_once) as pool:
-        return list(zip(settings, pool.map(score, settings)))
+    return list(zip(settings, side_by_side(score, settings, at_once)))
 
 
 def fit_tuned(
