@@ -56,7 +56,7 @@ def value_text(c: Column) -> Column:
         .when(size >= 10, _fixed_places(size, 1))
         .otherwise(_fixed_places(size, 2))
     )
-    return F.when(c < 0, F.concat(F.lit("-"), body)).otherwise(body)
+    return F.when(c < 0, F.concat(F.lit("-"), body)).when(c.isNotNull(), body)
 
 
 def alert_sentence(pollutant: Column, value: Column, station: Column, rule: Column) -> Column:

@@ -28,9 +28,10 @@ def loadable_rows(clean: DataFrame, order: str = ROW_ORDER) -> DataFrame:
 def load(
     clean: DataFrame, stations: DataFrame, order: str = ROW_ORDER
 ) -> tuple[DataFrame, DataFrame]:
-    """All stations, and the new measurements with their station id."""
+    """All stations, and the new measurements with their station id. The stations are saved, so
+    ids stay what they are when a part of the measurements is computed again."""
     rows = loadable_rows(clean, order)
-    known = assign_ids(rows, stations, "station")
+    known = durable(assign_ids(rows, stations, "station"))
     return known, with_station_ids(rows, known, "station")
 
 
@@ -40,6 +41,5 @@ def load_into(spark: SparkSession, clean: DataFrame, root: str, order: str = ROW
     if stations is None:
         stations = spark.createDataFrame([], STATIONS)
     known, updates = load(clean, stations, order)
-    known = durable(known)
-    known.write.mode("overwrite").parquet(f"{root}/stations")
+    known.join(stations.select("id"), "id", "left_anti").write.mode("append").parquet(f"{root}/stations")
     save_measurements(updates, f"{root}/measurements", [order])
