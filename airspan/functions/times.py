@@ -70,7 +70,20 @@ def ntz_literal(when: datetime) -> Column:
 
 def wall_time_in(ts: Column, zone: str) -> Column:
     """Home wall time as the wall time of another zone."""
-    return F.convert_timezone(F.lit(HOME_ZONE), F.lit(zone), ts.cast("timestamp_ntz"))
+    home = ts.cast("timestamp_ntz")
+    if zone == HOME_ZONE:
+        return home
+    return F.from_utc_timestamp(_utc(home), zone).cast("timestamp_ntz")
+
+
+def _utc(home: Column) -> Column:
+    """The instant of a home wall time, shown in UTC. With a constant zone name these functions
+    look the zone up once, not once per row; they ask for a session in UTC."""
+    return F.to_utc_timestamp(home.cast("timestamp"), HOME_ZONE)
+
+
+def _two_digits(c: Column) -> Column:
+    return F.lpad(c.cast("string"), 2, "0")
 
 
 def iso_time(ts: Column, zone: str | None = None) -> Column:
@@ -78,15 +91,14 @@ def iso_time(ts: Column, zone: str | None = None) -> Column:
     zone = pick_zone(zone)
     home = ts.cast("timestamp_ntz")
     local = wall_time_in(home, zone)
-    utc = F.convert_timezone(F.lit(HOME_ZONE), F.lit("UTC"), home)
     text = local.cast("string")
     clock = F.translate(F.substring(text, 1, 19), " ", "T")
     fraction = F.when(F.length(text) > 19, F.rpad(F.substring(text, 20, 7), 7, "0")).otherwise("")
-    gap = F.timestamp_diff("SECOND", utc, local)
+    gap = F.unix_seconds(local.cast("timestamp")) - F.unix_seconds(_utc(home))
     size = F.abs(gap)
     sign = F.when(gap < 0, "-").otherwise("+")
-    hours_minutes = F.format_string(
-        "%02d:%02d", F.floor(size / 3600), F.pmod(F.floor(size / 60), F.lit(60)))
-    seconds = F.when(F.pmod(size, F.lit(60)) == 0, "").otherwise(
-        F.format_string(":%02d", F.pmod(size, F.lit(60))))
-    return F.concat(clock, fraction, sign, hours_minutes, seconds)
+    seconds = F.pmod(size, F.lit(60))
+    return F.concat(
+        clock, fraction, sign, _two_digits(F.floor(size / 3600)), F.lit(":"),
+        _two_digits(F.pmod(F.floor(size / 60), F.lit(60))),
+        F.when(seconds == 0, "").otherwise(F.concat(F.lit(":"), _two_digits(seconds))))

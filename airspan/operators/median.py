@@ -30,7 +30,7 @@ def group_median(
 def ranked_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Median by rank: count equal values, sort them over all tasks, add up counts per sort
     partition, then look only into the one or two partitions that hold the middle ranks."""
-    keys, spark = list(keys), df.sparkSession
+    keys = list(keys)
     names = {f"v{i}": c for i, c in enumerate(columns)}
     flat = df.select(*keys, *[F.col(name_col(c)).cast("double").alias(v) for v, c in names.items()])
     counted = (
@@ -40,11 +40,8 @@ def ranked_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     group = [*keys, "_what"]
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = durable(
-        counted.repartitionByRange(tasks, *group, "_value")
-        .withColumn("_part", F.spark_partition_id())
-    )
+        counted.repartitionByRange(*group, "_value").withColumn("_part", F.spark_partition_id()))
     segments = placed.groupBy(*group, "_part").agg(F.sum("_n").alias("_in_part"))
     in_group = W.partitionBy(*group)
     before = in_group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)

@@ -28,9 +28,8 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no") -
     the result is saved, and the partitions' counts (one small row each) give the offsets.
     """
     spark = df.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = durable(
-        df.repartitionByRange(tasks, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id())
     )

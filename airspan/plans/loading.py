@@ -18,7 +18,10 @@ from airspan.sources.readers import ROW_ORDER
 def loadable_rows(clean: DataFrame, order: str = ROW_ORDER) -> DataFrame:
     """(station, ts, six values, order) of the rows with a time and a station."""
     rows = conform(rename(clean, RENAMED), CLEAN_COLUMNS)
-    values = [to_number(F.col(name_col(c)).cast("string")).alias(t) for c, t in RAW_TO_TABLE.items()]
+    kinds = dict(rows.dtypes)
+    values = [
+        (F.col(name_col(c)) if kinds[c] == "double" else to_number(F.col(name_col(c)))).alias(t)
+        for c, t in RAW_TO_TABLE.items()]
     rows = rows.select(
         station_name(F.col("Estacion")).alias("station"),
         reading_time(F.col("Fecha"), F.col("Hora")).alias("ts"), *values, order)
@@ -28,9 +31,12 @@ def loadable_rows(clean: DataFrame, order: str = ROW_ORDER) -> DataFrame:
 def load(
     clean: DataFrame, stations: DataFrame, order: str = ROW_ORDER
 ) -> tuple[DataFrame, DataFrame]:
-    """All stations, and the new measurements with their station id. The stations are saved, so
-    ids stay what they are when a part of the measurements is computed again."""
-    rows = loadable_rows(clean, order)
+    """All stations, and the new measurements with their station id.
+
+    The rows are saved once cleaned, as ids, touched days and the upsert all read them. The
+    stations are saved so that ids stay what they are when a part is computed again.
+    """
+    rows = durable(loadable_rows(clean, order))
     known = durable(assign_ids(rows, stations, "station"))
     return known, with_station_ids(rows, known, "station")
 
