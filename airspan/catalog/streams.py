@@ -7,26 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airspan.catalog.alerts import RULES_SQL, hits_sql
+from airspan.catalog.intake import _PAGE_B, _PAGE_KEY, _six
 from airspan.catalog.readings import NEWEST_SQL
 from airspan.catalog.registry import MEASUREMENTS_SQL, STATIONS_SQL, VALUES, VERSIONS_SQL, query, with_sql
-from airspan.functions.times import hour_bucket
+from airspan.schemas import RAW_COLUMNS, name_col
 from airspan.session import checkpoint_root
 from airspan.sinks.store import KEY
 from airspan.sources import sample
 from airspan.streaming import jobs
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = sample.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-
-
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sample.versions`` as a stream."""
-    values = [F.when(F.col("event_type") == e, F.col("value")).alias(c) for c, e in sample.EVENT_OF.items()]
-    return _events(spark, sf_dir).select(
-        F.col("user_id").cast("int").alias("station_id"), hour_bucket(F.col("ts")).alias("ts"),
-        *values, (F.col("value") * 10).alias("co"), "event_id")
+    return sample.versions_of(sample.event_stream(spark, sf_dir))
 
 
 def _places(spark: SparkSession) -> tuple[str, str]:
@@ -43,6 +36,19 @@ def stream_new_rows(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("stream_pages", f"""
+SELECT * EXCLUDE (rn) FROM (
+    SELECT event_id AS page_id, {_PAGE_KEY}, strftime(ts, '%H:00') AS "Hora", {_six(_PAGE_B)},
+           row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY event_id) AS rn
+    FROM events) WHERE rn = 1""")
+def stream_pages(spark, sf_dir):
+    path, checkpoint = _places(spark)
+    pages = sample.pages_of(sample.event_stream(spark, sf_dir))
+    jobs.intake_pages(pages, path, checkpoint).awaitTermination()
+    stored = spark.read.parquet(path)
+    return stored.select("page_id", *[F.col(name_col(c)).cast("string").alias(c) for c in RAW_COLUMNS])
+
+
 @query("stream_dedup_keys", with_sql("SELECT DISTINCT station_id, ts FROM v", VERSIONS_SQL))
 def stream_dedup_keys(spark, sf_dir):
     path, checkpoint = _places(spark)
@@ -74,6 +80,7 @@ def stream_alerts(spark, sf_dir):
     stream = spark.readStream.schema(stored.schema).parquet(table)
     jobs.watch_rules(
         stream, sample.alert_rules(spark, sf_dir), sample.stations(spark, sf_dir), path, checkpoint,
+        table=table,
     ).awaitTermination()
     return spark.read.parquet(path).select(
         "rule_id", "station_id", "ts", "pollutant", "value", "operator", "threshold")

@@ -219,7 +219,7 @@ def fit_adaboost(rounds: int, rate: float, depth: int) -> Fit:
             beta = loss / (1 - loss)
             models.append(model)
             votes.append(rate * log(1 / beta))
-            # Scaled by the mean weight, so that weights neither vanish nor overflow.
+            # Divided by the smallest possible factor, so that no weight ever vanishes.
             grown = F.col("_weight") * F.pow(F.lit(beta), (1 - miss / largest) * rate) * (1.0 / beta ** rate)
             rows = seen.select(FEATURES, task.target, grown.alias("_weight"))
             if (r + 1) % ROUNDS_PER_SAVE == 0:

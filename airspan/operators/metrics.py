@@ -41,6 +41,11 @@ def rank_models(metrics: DataFrame, by: str = "r2") -> DataFrame:
         "place", F.row_number().over(W.partitionBy("target").orderBy(best, F.asc("model"))))
 
 
+def metrics_of(metrics: DataFrame, target: str) -> DataFrame:
+    """Metrics of one target, best model first."""
+    return metrics.filter(F.col("target") == target).orderBy(F.desc_nulls_last("r2"), F.asc("model"))
+
+
 def best_models(metrics: DataFrame, by: str = "r2") -> DataFrame:
     return rank_models(metrics, by).filter("place = 1").drop("place")
 

@@ -28,5 +28,7 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def spread_if_few(df: DataFrame) -> DataFrame:
     """Before slow per-row Python: spreads the rows of an input with fewer files than cores.
     A large input has more, and is left where it is read."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

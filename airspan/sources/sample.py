@@ -23,10 +23,19 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").cast("int").alias("id"), F.col("c_name").alias("name"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event: readings whose key (station, hour) comes more than once."""
+    return versions_of(table(spark, sf_dir, "events"))
+
+
+def versions_of(events: DataFrame) -> DataFrame:
     values = [F.when(F.col("event_type") == e, F.col("value")).alias(c) for c, e in EVENT_OF.items()]
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").cast("int").alias("station_id"), hour_bucket(F.col("ts")).alias("ts"),
         *values, (F.col("value") * 10).alias("co"), "event_id")
 
@@ -77,9 +86,13 @@ def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def station_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One popup page per event: its reading, a blank row, and a short row of the hour before."""
+    return pages_of(table(spark, sf_dir, "events"))
+
+
+def pages_of(events: DataFrame) -> DataFrame:
     text = F.col("text")
     cell = lambda c: F.concat(F.lit("<td> "), c, F.lit(" </td>"))
-    rows = table(spark, sf_dir, "events").select(
+    rows = events.select(
         F.col("event_id").alias("page_id"), F.format_string("Estación %d", "user_id").alias("name"),
         F.date_format("ts", "dd/MM/yyyy").alias("date"), F.date_format("ts", "HH:00").alias("time"),
         F.when(F.pmod("event_id", F.lit(3)) == 0, F.translate(F.format_string("%.2f", "value"), ".", ","))

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from airspan.operators.aggregate import AGGREGATES
 from airspan.plans import alerts
-from airspan.schemas import ALERT_EVENTS, TABLE_POLLUTANTS
+from airspan.schemas import ALERT_EVENTS, RAW_COLUMNS, RAW_KEY, TABLE_POLLUTANTS
 from airspan.session import durable
 from airspan.sinks.store import COLUMNS, save_measurements
 from airspan.sinks.writers import append_new, stored_or_none
+from airspan.sources.pages import parse_pages
 
 NOW = {"availableNow": True}
 
@@ -39,6 +40,24 @@ def intake(
         stream, lambda batch: append_new(batch, path, keys, order, partition_by), checkpoint, trigger)
 
 
+def raw_files(spark: SparkSession, folder: str) -> DataFrame:
+    """New raw CSV files as a stream. A file whose header is not the expected one fails instead
+    of being read by position."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
+    return spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).csv(folder)
+
+
+def intake_pages(
+    stream: DataFrame, path: str, checkpoint: str, partition_by: str | None = "Fecha",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Newest row of each new page (page_id, html), kept if its station, date and time are new."""
+    def work(batch: DataFrame) -> None:
+        rows = durable(parse_pages(batch, first_only=True).drop("row_no"))
+        append_new(rows, path, RAW_KEY, ["page_id"], partition_by)
+    return _each_batch(stream.select("page_id", "html"), work, checkpoint, trigger)
+
+
 def intake_within(
     stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], ts: str = "ts",
     delay: str = "2 hours", trigger: dict | None = None,
@@ -69,12 +88,19 @@ def upsert(
 
 def watch_rules(
     stream: DataFrame, rules: DataFrame, stations: DataFrame, path: str, checkpoint: str,
-    trigger: dict | None = None,
+    trigger: dict | None = None, table: str | None = None,
 ) -> StreamingQuery:
-    """Checks the rules on the newest reading per station of every batch. Events are appended to
-    ``path`` once per rule, station and time, so a batch run again makes none."""
+    """Checks the rules on the newest reading of every station in a batch. Events are appended to
+    ``path`` once per rule, station and time, so a batch run again makes none.
+
+    With ``table`` the newest reading is looked up in the measurement table there, so a late
+    reading in the batch does not count as the newest.
+    """
     def work(batch: DataFrame) -> None:
         spark = batch.sparkSession
+        if table is not None:
+            touched = batch.select("station_id").distinct()
+            batch = spark.read.parquet(table).join(touched, "station_id", "left_semi")
         known = stored_or_none(spark, path)
         if known is None:
             known = spark.createDataFrame([], ALERT_EVENTS)

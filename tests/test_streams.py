@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from airspan.operators.aggregate import bucket_aggregate
 from airspan.operators.dedup import one_per_key
-from airspan.sinks.store import KEY
+from airspan.schemas import RAW_KEY
+from airspan.sinks.store import KEY, save_measurements
 from airspan.sources import sample
 from airspan.streaming import jobs
 
@@ -69,3 +70,31 @@ def test_rules_make_each_event_once(spark, tmp_path):
     events = spark.read.parquet(out)
     assert first == events.count() == events.select("rule_id", "station_id", "ts").distinct().count() > 0
     assert events.select("id").distinct().count() == first
+
+
+def test_late_reading_raises_nothing(spark, tmp_path):
+    schema = "station_id int, ts timestamp_ntz, pm2_5 double, pm10 double, so2 double, no2 double, o3 double, co double, event_id long"
+    def rows(day, co):
+        return spark.sql(f"""select 1, timestamp_ntz'2024-01-{day} 00:00:00', null, null, null, null, null, {co}D, 1L""").toDF(
+            *[c.split()[0] for c in schema.split(", ")]).select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", ")])
+    save_measurements(rows("05", 1.0), str(tmp_path / "table"), ["event_id"])
+    save_measurements(rows("03", 9.0), str(tmp_path / "table"), ["event_id"])
+    rows("03", 9.0).write.parquet(str(tmp_path / "in"))
+    rules = spark.sql("select 1 id, 'r' name, cast(null as int) station_id, 'co' pollutant, 'gt' operator, 5D threshold, '1h' time_window, true enabled, timestamp_ntz'2024-01-01 00:00:00' created_at")
+    stations = spark.createDataFrame([(1, "A")], "id int, name string")
+    for name, table, n in (("with", str(tmp_path / "table"), 0), ("without", None, 1)):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = str(tmp_path / name)
+        jobs.watch_rules(stream, rules, stations, out, out + "-mark", table=table).awaitTermination()
+        assert spark.read.parquet(out).count() == n
+
+
+def test_csv_files_as_stream(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    head = 'Estacion,Fecha,Hora,"PM 2,5",PM 10,SO2,NO2,O3,CO\n'
+    (folder / "a.csv").write_text(head + 'A,01/01/2024,01:00,"1,5",,,,,\nA,01/01/2024,01:00,2,,,,,\n')
+    (folder / "b.csv").write_text(head + "A,01/01/2024,01:00,3,,,,,\nB,01/01/2024,01:00,4,,,,,\n")
+    stream = jobs.raw_files(spark, str(folder))
+    jobs.intake(stream, str(tmp_path / "out"), str(tmp_path / "mark"), RAW_KEY, ["PM 2,5"], "Fecha").awaitTermination()
+    assert sorted(r["Estacion"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["A", "B"]
