@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from airspan.operators.dedup import unseen_rows
@@ -20,10 +21,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def stored_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The parquet table at a path, or None before the first write."""
+def stored_or_none(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The parquet table at a path, or None before the first write. With a schema, partition
+    columns get their types from it rather than from what their values look like."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException:
         return None
 
@@ -34,15 +36,18 @@ def append_new(
 ) -> None:
     """Appends the rows whose key the table does not hold yet. Running it again adds nothing.
 
-    Where the table is partitioned by one of the keys, the anti join prunes: only partitions
-    named in the batch can hold its keys.
+    Where the table is partitioned by one of the keys, a text, the anti join prunes: only
+    partitions named in the batch can hold its keys. As a folder name cannot tell an empty text
+    from a missing one, both count as empty there.
     """
     spark = batch.sparkSession
-    known = stored_or_none(spark, path)
+    if partition_by:
+        batch = batch.fillna("", [partition_by])
+    known = stored_or_none(spark, path, batch.schema)
     if known is None:
         known = spark.createDataFrame([], batch.schema)
     elif partition_by:
-        known = known.join(batch.select(partition_by).distinct(), partition_by, "left_semi")
+        known = known.fillna("", [partition_by]).join(batch.select(partition_by).distinct(), partition_by, "left_semi")
     fresh = unseen_rows(batch, known, keys, order)
     writer = fresh.write.mode("append")
     if partition_by:

@@ -110,6 +110,13 @@ def test_append_new_adds_nothing_twice(spark, tmp_path):
         assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == ["x", "z"]
 
 
+def test_append_new_with_odd_partition_texts(spark, tmp_path):
+    rows = spark.createDataFrame([("A", "01", 1), ("A", "1", 2), ("A", "", 3), ("A", None, 4), ("A", "2024-01-01", 5)], "s string, f string, n int")
+    for _ in range(2):
+        append_new(rows, str(tmp_path / "t"), ["s", "f"], ["n"], "f")
+    assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3, 5]
+
+
 def test_ids_ignore_accents_and_case(spark):
     stations = spark.createDataFrame([(4, "Ate")], "id int, name string")
     names = spark.createDataFrame([("ÁTE",), ("Puente",), ("puente ",), ("",), (None,)], "name string")
