@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, functions as F
 
 from airspan.functions.numbers import commas_to_dots_if_digits, commas_to_dots_if_number
 from airspan.operators.sizing import spread_if_few
 from airspan.schemas import RAW_COLUMNS, RAW_POLLUTANTS, name_col
 
+# Executors need no copy of this package: the parser travels with the job.
+register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: the word in the bold label next to the station name.
 STATION_LABEL = "Estación"
 
