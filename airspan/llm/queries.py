@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from airspan.llm.linededup import drop_boilerplate
 from airspan.llm.neardup import near_duplicates
+from airspan.llm.quality import quality
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -41,3 +43,27 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, w.doc_id =
 FROM w LEFT JOIN n USING (doc_id) JOIN m ON m.d = w.doc_id""")
 def op4_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@query("op5_line_dedup", """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, source FROM documents),
+l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line,
+             generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+k AS (SELECT r, pos, source, line, trim(regexp_replace(line, '[\\x09-\\x0D]', ' ', 'g'), ' ') AS key FROM l),
+s AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce(source, '')) >= 10),
+h AS (SELECT r, sum(length(key)) AS n, count(*) AS c FROM k JOIN s USING (key) GROUP BY r),
+j AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE key NOT IN (SELECT key FROM s)) AS t
+      FROM k GROUP BY r)
+SELECT doc_id, CASE WHEN n <= 0.5 * length(text) THEN coalesce(t, '') ELSE text END AS text,
+       CASE WHEN n <= 0.5 * length(text) THEN c ELSE 0 END AS n_removed
+FROM d LEFT JOIN h USING (r) LEFT JOIN j USING (r)""")
+def op5_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return drop_boilerplate(docs, removed="n_removed").drop("source")
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark, sf_dir):
+    judged = quality(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "p_good")
