@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airspan.llm.linededup import drop_boilerplate
 from airspan.llm.neardup import near_duplicates
+from airspan.llm.packing import pack
 from airspan.llm.quality import quality
+from airspan.llm.tokens import pieces
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -18,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> dict[str, str]:
+    """The files of the vocabulary that the queries use; the library that brings them is on every executor."""
+    import public_tokenizers
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"),
+            "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         LLM_QUERIES[name] = fn
@@ -27,6 +36,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_packing")
+def op2_packing(spark, sf_dir):
+    cut = pieces(table(spark, sf_dir, "documents"), **vocabulary(), with_ids=False)
+    return pack(cut)
+
+
 @query("op4_near_duplicates", """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
