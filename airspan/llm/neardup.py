@@ -11,8 +11,9 @@ two sketches is the odd sketch of the samples that differ, and its population co
 differ: similarity = 1 + BITS / (4 * HASHES) * ln(1 - 2 * ones / BITS). A pair estimated far below the
 threshold is not compared further; the margin is five standard deviations.
 
-No bucket is expanded into its pairs. First each member is compared with the smallest document of
-its buckets, then only pairs that are not connected yet, which in a group of copies is almost none.
+No bucket is expanded into rows of pairs. Tasks compare the sketches of a bucket, and then the full
+sets of a cluster, in memory, and give back only the links that join separate parts. A large bucket or
+cluster is cut into blocks, and each two blocks are one task's work.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from airspan.llm.graph import components
+from airspan.llm.groups import Parts, in_blocks, map_groups
 from airspan.llm.text import hashes_of, list_column, mixed, shingles, slices, word_codes
 from airspan.session import durable
 
@@ -36,6 +38,9 @@ XORS = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
 ODDS = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 # Shingles hashed at a time, which bounds the work arrays for a very long text.
 CHUNK = 4096
+# Documents of a bucket, and shingles of a cluster, that one block holds; a task holds two blocks.
+BLOCK_ROWS = 2048
+BLOCK_SHINGLES = 1_000_000
 
 
 def _minhash(values: np.ndarray) -> np.ndarray:
@@ -98,16 +103,17 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", widt
 
 
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, shingles): the whole set of every row of (doc_id, text)."""
+    """(component, doc_id, shingles): the whole set of every row of (component, doc_id, text)."""
     def run(batches):
         for batch in slices(batches, "text"):
             sets = list(_sets_of(batch.column("text"), width))
             ends = np.cumsum([len(s) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), list_column(np.concatenate(sets).view(np.int64), ends, pa.int64())],
-                ["doc_id", "shingles"])
+                [batch.column("component"), batch.column("doc_id"),
+                 list_column(np.concatenate(sets).view(np.int64), ends, pa.int64())],
+                ["component", "doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("component", "doc_id", "text").mapInArrow(run, "component long, doc_id long, shingles array<long>")
 
 
 def most_ones(similarity: float) -> int:
@@ -121,25 +127,38 @@ def most_ones(similarity: float) -> int:
     return int(min(BITS, ones + 5 * math.sqrt(BITS) / 2 * math.sqrt(1 - math.exp(-4 * flips / BITS))))
 
 
-def _plausible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches and set sizes allow the similarity, with the count of ones."""
-    side = lambda x: sigs.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    apart = F.aggregate(
-        F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (pairs.join(side("a"), "a").join(side("b"), "b").withColumn("ones", apart)
-            .filter(F.col("ones") <= most_ones(percent / 100)).drop("sketch_a", "sketch_b"))
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar: 100 * intersection >= percent * union."""
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(
-        pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = durable(shingle_sets(docs.join(ends, "doc_id", "left_semi"), width).groupBy("doc_id").agg(
-        F.first("shingles").alias("shingles")))
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - shared
-    return pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * shared >= percent * union).select("a", "b")
+def _plausible_links(rows: pa.RecordBatch, ones: int) -> list[tuple]:
+    """Links (a, b) that join all rows of one bucket whose sketches are near enough, few as they are."""
+    ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
+    sketch = rows.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+    parts = Parts(ids)
+    for i in range(len(ids) - 1):
+        apart = np.bitwise_count(sketch[i + 1:] ^ sketch[i]).sum(axis=1, dtype=np.int32)
+        parts.join(i, np.flatnonzero(apart <= ones) + i + 1)
+    return parts.links
+
+
+def _exact_links(rows: pa.RecordBatch, percent: int) -> list[tuple]:
+    """Links (a, b) that join all rows of one group whose full sets are similar enough.
+
+    An index from shingles to rows counts what each row shares with all later ones at once."""
+    ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
+    sets = rows.column("shingles")
+    size = np.diff(sets.offsets.to_numpy())
+    kinds, codes = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(ids)), size)
+    by_kind = np.argsort(codes, kind="stable")
+    holders, first = owner[by_kind], np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(kinds)))])
+    parts = Parts(ids)
+    for i in range(len(ids) - 1):
+        own = codes[ends[i] - size[i]: ends[i]]
+        lengths = first[own + 1] - first[own]
+        steps = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        shared = np.bincount(holders[np.repeat(first[own], lengths) + steps], minlength=len(ids))
+        similar = 100 * shared >= percent * (size[i] + size - shared)
+        parts.join(i, np.flatnonzero(similar[i + 1:]) + i + 1)
+    return parts.links
 
 
 def near_duplicates(
@@ -161,44 +180,23 @@ def near_duplicates(
               .filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     reps = durable(known.join(classes.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi")
                    .dropDuplicates(["doc_id", "set_a", "set_b"]))
-    buckets = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(
-        "first != last").select("band", "first")
-    members = durable(buckets.join(shared, "band"))
-    one = reps.dropDuplicates(["doc_id"])
-    # Each member with the most alike of the smallest documents of its buckets.
-    centers = members.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    best = durable(_plausible(centers, one, percent).groupBy("a").agg(F.min(F.struct("ones", "b")).alias("x")).select(
-        "a", F.col("x.b").alias("b")))
-    links = durable(_linked(best, docs, width, percent))
-    rest = _unconnected(members, one, links, best, percent)
-    found = links.unionByName(_linked(durable(rest), docs, width, percent)).unionByName(copies)
-    joined = components(found)
+    # Documents that share a bucket and whose sketches allow the similarity fall into one cluster.
+    buckets = reps.select("doc_id", F.explode("bands").alias("band"))
+    full = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = buckets.join(full, "band").join(reps.select("doc_id", "sketch"), "doc_id")
+    split = in_blocks(members, "band", F.ceil(F.col("n") / BLOCK_ROWS), F.xxhash64("doc_id")).select(
+        "group", "doc_id", "sketch")
+    ones = most_ones(percent / 100)
+    clusters = durable(components(map_groups(
+        split, lambda rows: _plausible_links(rows, ones), "a long, b long").distinct()))
+    # Within a cluster the full sets decide.
+    sets = durable(shingle_sets(docs.join(clusters.withColumnRenamed("node", "doc_id"), "doc_id"), width))
+    weight = sets.groupBy("component").agg(F.sum(F.size("shingles")).alias("n"))
+    split = in_blocks(sets.join(weight, "component"), "component", F.ceil(F.col("n") / BLOCK_SHINGLES),
+                      F.xxhash64("doc_id")).select("group", "doc_id", "shingles")
+    links = map_groups(split, lambda rows: _exact_links(rows, percent), "a long, b long")
+    joined = components(links.unionByName(copies))
     out = sigs.select("doc_id", "n_shingles").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def _unconnected(members: DataFrame, reps: DataFrame, links: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket, could be similar, are not connected by the links and not tried yet.
-
-    In each bucket with several components, the members outside its largest component meet all
-    members of other components. A bucket of one group of copies has no such member."""
-    groups = components(links)
-    placed = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("band").agg(
-        F.max(F.struct("n", "component")).alias("x"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(
-        "band", F.col("x.component").alias("major"))
-    split = durable(placed.join(major, "band"))
-    left = split.filter("component != major").select(
-        "band", F.col("doc_id").alias("a"), F.col("component").alias("c"), F.col("n_shingles").alias("n"))
-    low, high = F.least("n", "n_shingles"), F.greatest("n", "n_shingles")
-    pairs = (left.join(split, "band")
-             .filter((F.col("c") != F.col("component"))
-                     & ((F.col("component") == F.col("major")) | (F.col("a") > F.col("doc_id")))
-                     & (100 * low >= percent * high))
-             .select(F.greatest("a", "doc_id").alias("a"), F.least("a", "doc_id").alias("b")).distinct())
-    return _plausible(pairs.join(tried, ["a", "b"], "left_anti"), reps, percent).select("a", "b")
