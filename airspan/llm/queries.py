@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from airspan.llm.decontam import contaminated
 from airspan.llm.linededup import drop_boilerplate
 from airspan.llm.neardup import near_duplicates
 from airspan.llm.packing import pack
@@ -82,3 +83,8 @@ def op6_quality_rules(spark, sf_dir):
     judged = quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "p_good")
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

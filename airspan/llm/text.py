@@ -33,7 +33,8 @@ def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
 
     Words are runs without white space; A-Z are lower-cased; a null text has no words.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # A copy, as Arrow's lower-casing reads beyond the rows of a slice.
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten()
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
