@@ -102,13 +102,14 @@ def with_statistics(docs: DataFrame, text: str, name: str) -> DataFrame:
     covered = F.aggregate(
         F.transform(at("twice"), lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at("twice"), k + 1) - p, F.lit(WINDOW)))),
         F.lit(0).cast("long"), lambda s, x: s + x)
-    return df.withColumn(name, F.struct(
+    # A generator of one row: what follows reads its result and does not compute it again for each use.
+    return df.withColumn(name, F.explode(F.array(F.struct(
         F.col(at("n_words")).alias("n_words"), F.col(at("word_chars")).alias("word_chars"),
         F.col(at("n_symbols")).alias("n_symbols"), F.col(at("n_lines")).alias("n_lines"),
         (F.col(at("n_lines")) - F.col(at("n_line_kinds"))).alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(F.array_distinct(at("h"))).cast("long").alias("n_distinct"),
-        F.col(at("n_upper")).alias("n_upper"), (F.col(at("n_shouts")) - 1).alias("n_shouts")))
+        F.col(at("n_upper")).alias("n_upper"), (F.col(at("n_shouts")) - 1).alias("n_shouts")))))
 
 
 @dataclass(frozen=True)
