@@ -11,6 +11,7 @@ from airspan.llm.linededup import drop_boilerplate
 from airspan.llm.neardup import near_duplicates
 from airspan.llm.packing import pack
 from airspan.llm.quality import quality
+from airspan.llm.secrets import ACCESS, ALLOWED, ASSIGN, CLASSES, HEX, KINDS, find_secrets, span_text
 from airspan.llm.tokens import pieces
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +38,62 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _runs_sql(pattern: str) -> str:
+    """SQL for (start, end, hit) of the matches: what precedes a match, and the earlier matches."""
+    p = pattern.replace("'", "''")
+    return f"""list_transform(range(1, len(regexp_extract_all(text, '{p}')) + 1), lambda i: {{
+      's': coalesce(list_sum(list_transform(string_split_regex(text, '{p}')[1:i], lambda x: length(x))), 0)::INT
+         + coalesce(list_sum(list_transform(regexp_extract_all(text, '{p}')[1:i - 1], lambda x: length(x))), 0)::INT,
+      'hit': regexp_extract_all(text, '{p}')[i]}})"""
+
+
+def _secrets_sql() -> str:
+    """Base spans, then every window of every candidate measured on its own, not by sliding."""
+    base = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)]
+    runs = " UNION ALL ".join(
+        f"SELECT r, {i} AS k, unnest({_runs_sql(p)}) AS m FROM d" for i, (_, p) in enumerate(base))
+    long = ASSIGN.replace("'", "''")
+    ctes = [f"""d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)""",
+            f"""b AS (SELECT r, k, m.s AS s, m.s + length(m.hit) AS e FROM ({runs})
+              WHERE k <> 0 OR length(regexp_extract(m.hit, '{long}', 2)) >= 12)"""]
+    seen = "b"
+    for i, c in enumerate(CLASSES):
+        allowed = " OR ".join(f"regexp_matches(m.hit, '{p}')" for p in ALLOWED)
+        text = "lower(m.hit)" if c.fold else "m.hit"
+        ctes.append(f"""c{i} AS (SELECT r, m.s AS s, {text} AS t FROM (
+              SELECT r, unnest({_runs_sql(f"{c.pattern}{{{c.width},}}")}) AS m FROM d) WHERE NOT ({allowed}))""")
+        ctes.append(f"""w{i} AS (SELECT r, s, unnest(range(0, length(t) - {c.width - 1})) AS o, t FROM c{i})""")
+        ctes.append(f"""h{i} AS (SELECT r, s, o, sum({c.table}[n + 1]) AS z FROM (
+              SELECT r, s, o, ch, count(*) AS n FROM (
+                SELECT r, s, o, unnest(string_split(substr(t, o + 1, {c.width}), '')) AS ch FROM w{i}) GROUP BY ALL)
+              GROUP BY ALL HAVING z <= {c.most})""")
+        ctes.append(f"""g{i} AS (SELECT r, s, o, sum(new) OVER (PARTITION BY r, s ORDER BY o) AS g FROM (
+              SELECT r, s, o, CASE WHEN o <= lag(o) OVER (PARTITION BY r, s ORDER BY o) + {c.width} THEN 0 ELSE 1 END AS new
+              FROM h{i}))""")
+        ctes.append(f"""e{i} AS (SELECT r, {KINDS.index(c.kind)} AS k, s + min(o) AS s, s + max(o) + {c.width} AS e
+              FROM g{i} GROUP BY r, g{i}.s, g)""")
+        ctes.append(f"""n{i} AS (SELECT * FROM {seen} UNION ALL SELECT * FROM e{i} x WHERE NOT EXISTS (
+              SELECT 1 FROM {seen} y WHERE y.r = x.r AND y.s <= x.s AND y.e >= x.e))""")
+        seen = f"n{i}"
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    join = f"string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    return f"""WITH {", ".join(ctes)}
+      SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+        count(*) FILTER (k = 2) AS n_hex, sha256(coalesce({join} FILTER (k < 3), '')) AS base_sha256,
+        coalesce({join}, '') AS spans
+      FROM d LEFT JOIN {seen} USING (r) GROUP BY r, doc_id"""
+
+
+@query("op1_secrets", _secrets_sql())
+def op1_secrets(spark, sf_dir):
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
 @query("op2_packing")
 def op2_packing(spark, sf_dir):
     cut = pieces(table(spark, sf_dir, "documents"), **vocabulary(), with_ids=False)
