@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airspan.llm.decontam import contaminated
+from airspan.llm.langid import fit, predict
 from airspan.llm.linededup import drop_boilerplate
 from airspan.llm.neardup import near_duplicates
 from airspan.llm.packing import pack
 from airspan.llm.quality import quality
 from airspan.llm.secrets import ACCESS, ALLOWED, ASSIGN, CLASSES, HEX, KINDS, find_secrets, span_text
+from airspan.llm.text import held_out
 from airspan.llm.tokens import pieces
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +102,14 @@ def op2_packing(spark, sf_dir):
     return pack(cut)
 
 
+@query("op3_language")
+def op3_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    aside = held_out(F.col("doc_id"), 3)
+    model = fit(docs.filter(~aside & F.col("doc_id").isNotNull()))
+    return predict(docs, model, "text", F.col("doc_id"), aside.alias("held_out"))
+
+
 @query("op4_near_duplicates", """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
