@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from airspan.llm import classlm
 from airspan.llm.decontam import contaminated
 from airspan.llm.langid import fit, predict
 from airspan.llm.linededup import drop_boilerplate
@@ -152,6 +153,12 @@ def op6_quality_rules(spark, sf_dir):
                          "base_failed", "kept", "p_good")
 
 
+@query("op7_class_lm")
+def op7_class_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return classlm.score(docs.select("doc_id", "text", held_out(F.col("doc_id"), 5).alias("aside")))
+
+
 @query("op8_decontamination")
 def op8_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
