@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airspan.llm import classlm
+from airspan.llm import classlm, toxicity
 from airspan.llm.decontam import contaminated
 from airspan.llm.langid import fit, predict
 from airspan.llm.linededup import drop_boilerplate
@@ -162,3 +162,12 @@ def op7_class_lm(spark, sf_dir):
 @query("op8_decontamination")
 def op8_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learnt = docs.join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id").filter(~held_out(F.col("doc_id"), 3))
+    model = toxicity.fit(learnt.select("text", "label"))
+    scored = toxicity.score(docs, model, "text", F.col("doc_id"), held_out(F.col("doc_id"), 3).alias("held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
