@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
 Voters are words and beginnings of words: a small lexicon, and those that the labelled rows show almost
-only in toxic texts. A voter fires in a text that has its word. A generative model of the hidden true
+only in toxic texts, once or, if that is what tells, twice. A voter fires in a text that has its word so
+often. A generative model of the hidden true
 label estimates by expectation-maximisation how often each voter fires in toxic and in clean texts; voters
 that fire together within a class (as nested beginnings do) are one piece of evidence and share its weight.
 The posterior labels train a logistic classifier on the voters' firing and the number of hits, and that
@@ -25,7 +26,9 @@ LEXICON = (
     "pathetic", "pig", "scum", "shut", "stupid", "trash", "ugly", "vermin", "worthless",
 )
 # Whole words, and beginnings of these lengths.
-WHOLE, BEGINNINGS = 0, (4, 5, 6)
+WHOLE, BEGINNINGS = 0, (4, 5, 6, 7)
+# How often a text must have the term.
+TIMES = (1, 2)
 # Labelled rows that the model is fitted on, and voters it has at most.
 SAMPLE_ROWS, MOST_VOTERS = 10_000, 512
 # A voter is found in so many toxic texts of the sample at least, and so rarely in clean ones.
@@ -47,35 +50,41 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, pa.Array]
     return ends, codes, kinds
 
 
+def _cells(owner: np.ndarray, of: np.ndarray, size: int, times: int) -> np.ndarray:
+    """owner * size + of, of the terms (of >= 0) that an owner has at least so often."""
+    cells, counts = np.unique(owner[of >= 0] * np.int64(size) + of[of >= 0], return_counts=True)
+    return cells[counts >= times]
+
+
 @dataclass
 class Voters:
-    """The terms of each kind; a voter's number is its place in all of them together."""
-    terms: dict[int, list[str]]
+    """The terms of each kind and number of times; a voter's number is its place in all of them together."""
+    terms: dict[tuple[int, int], list[str]]
 
     @property
     def size(self) -> int:
         return sum(map(len, self.terms.values()))
 
     def fired(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, voter, hits per text): who fires where, and how many words of each text have a voter."""
+        """(text, voter, hits): who fires where, and how many words of each text have a voter that
+        fires on a single one."""
         ends, codes, kinds = _terms(texts)
         owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-        hit, cells, base = np.zeros(len(codes), bool), [], 0
-        for kind, terms in self.terms.items():
+        hit, cells, base, size = np.zeros(len(codes), bool), [np.zeros(0, np.int64)], 0, max(1, self.size)
+        for (kind, times), terms in self.terms.items():
             if terms and len(codes):
                 at = pc.index_in(kinds[kind], value_set=pa.array(terms, kinds[kind].type))
                 at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False)[codes]
-                on = at >= 0
-                hit |= on
-                cells.append(owner[on] * np.int64(self.size) + base + at[on])
+                hit |= (at >= 0) & (times == 1)
+                cells.append(_cells(owner, np.where(at >= 0, at + base, -1), size, times))
             base += len(terms)
-        cells = np.unique(np.concatenate(cells)) if cells else np.zeros(0, np.int64)
-        size = max(1, self.size)
-        return cells // size, cells % size, np.bincount(owner[hit], minlength=len(ends))
+        found = np.sort(np.concatenate(cells))
+        return found // size, found % size, np.bincount(owner[hit], minlength=len(ends))
 
 
 def find_voters(sample: DataFrame, lexicon=LEXICON) -> Voters:
-    """The lexicon and the terms that the rows (text, label) show in toxic texts almost alone."""
+    """The lexicon and the terms that the rows (text, label) show in toxic texts almost alone. A term whose
+    single occurrence tells is not looked for twice."""
     def run(batches):
         for batch in slices(batches, "text"):
             ends, codes, kinds = _terms(batch.column("text"))
@@ -84,26 +93,26 @@ def find_voters(sample: DataFrame, lexicon=LEXICON) -> Voters:
             for kind, terms in kinds.items():
                 coded = terms.dictionary_encode()
                 number = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
-                if not len(codes) or not len(coded.dictionary):
-                    continue
-                of = number[codes]
-                pairs = np.unique(owner[of >= 0] * np.int64(len(coded.dictionary)) + of[of >= 0])
-                in_toxic = toxic[pairs // len(coded.dictionary)]
-                term = pairs % len(coded.dictionary)
                 n = len(coded.dictionary)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, kind, np.int32)), coded.dictionary.cast(pa.string()),
-                    pa.array(np.bincount(term[in_toxic], minlength=n)), pa.array(np.bincount(term, minlength=n))],
-                    ["kind", "term", "toxic", "texts"])
-
-    counts = sample.select("text", "label").mapInArrow(run, "kind int, term string, toxic long, texts long")
-    found = counts.groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts")).filter(
-        (F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * F.col("texts"))).orderBy(
-        F.desc("toxic"), "kind", "term").limit(MOST_VOTERS)
-    terms: dict[int, list[str]] = {k: [] for k in (WHOLE, *BEGINNINGS)}
+                if not len(codes) or not n:
+                    continue
+                out = [pa.array(np.full(n, kind, np.int32)), coded.dictionary.cast(pa.string())]
+                for times in TIMES:
+                    cells = _cells(owner, number[codes], n, times)
+                    term, in_toxic = cells % n, toxic[cells // n]
+                    out += [pa.array(np.bincount(term[in_toxic], minlength=n)), pa.array(np.bincount(term, minlength=n))]
+                yield pa.RecordBatch.from_arrays(out, ["kind", "term", "toxic1", "texts1", "toxic2", "texts2"])
+
+    counts = sample.select("text", "label").mapInArrow(
+        run, "kind int, term string, toxic1 long, texts1 long, toxic2 long, texts2 long")
+    sums = counts.groupBy("kind", "term").agg(*[F.sum(c).alias(c) for c in ("toxic1", "texts1", "toxic2", "texts2")])
+    tells = lambda t: (F.col(f"toxic{t}") >= SUPPORT) & (F.col(f"toxic{t}") >= PRECISION * F.col(f"texts{t}"))
+    found = sums.withColumn("times", F.when(tells(1), 1).when(tells(2), 2)).filter("times is not null").orderBy(
+        F.desc(F.when(F.col("times") == 1, F.col("toxic1")).otherwise(F.col("toxic2"))), "kind", "term").limit(MOST_VOTERS)
+    terms: dict[tuple[int, int], list[str]] = {(k, t): [] for k in (WHOLE, *BEGINNINGS) for t in TIMES}
     for row in found.collect():
-        terms[row["kind"]].append(row["term"])
-    terms[WHOLE] += [w for w in lexicon if w not in terms[WHOLE]]
+        terms[row["kind"], row["times"]].append(row["term"])
+    terms[WHOLE, 1] += [w for w in lexicon if w not in terms[WHOLE, 1]]
     return Voters(terms)
 
 
@@ -159,7 +168,7 @@ def _logistic(x: np.ndarray, p: np.ndarray, penalty: float = 1.0, rounds: int =
     """Weights of a logistic regression on soft labels, by Newton steps with an L2 penalty."""
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), penalty)
-    ridge[0], ridge[1:3] = 1e-3, 0.1
+    ridge[0], ridge[1:3] = 1e-3, 0.3
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(ridge), x.T @ (p - q) - ridge * w)
