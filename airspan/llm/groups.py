@@ -23,41 +23,48 @@ def in_blocks(rows: DataFrame, key: str, blocks: Column, spread: Column) -> Data
     return df.withColumn("group", F.xxhash64(key, F.least("_h", "_o"), F.greatest("_h", "_o"))).drop("_g", "_h", "_o")
 
 
-def map_groups(rows: DataFrame, each: Callable[[pa.RecordBatch], list[tuple]], schema: str,
-               order: tuple[str, ...] = ()) -> DataFrame:
-    """``each`` over the rows of every value of ``group``, its results as rows of ``schema``.
-
-    One shuffle by the group; a task reads its groups one after the other and holds one at a time."""
-    names = [part.split()[0] for part in schema.split(",")]
+def map_group_batches(rows: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+                      order: tuple[str, ...] = ()) -> DataFrame:
+    """``each`` over batches of whole groups, sorted by ``group`` and ``order``; a group is never split.
 
+    One shuffle by the group; a task holds one batch, or one group where that is larger."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def results(parts):
-            table = pa.Table.from_batches(parts).combine_chunks()
-            found = each(table.to_batches()[0])
-            if found:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*found)))))
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = batch.column("group").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            if held and held[-1].column("group")[-1].as_py() != keys[0]:
-                yield from results(held)
+            # The last group may go on in the next batch.
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut or held and held[-1].column("group")[-1].as_py() != keys[0]:
+                parts = [*held, batch.slice(0, cut)]
+                found = each(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+                if found is not None:
+                    yield found
                 held = []
-            for a, b in zip(cuts, cuts[1:]):
-                if a:
-                    yield from results(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
+            held.append(batch.slice(cut))
         if held:
-            yield from results(held)
+            found = each(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            if found is not None:
+                yield found
 
     return rows.repartition("group").sortWithinPartitions("group", *order).mapInArrow(run, schema)
 
 
+def map_groups(rows: DataFrame, each: Callable[[pa.RecordBatch], list[tuple]], schema: str,
+               order: tuple[str, ...] = ()) -> DataFrame:
+    """``each`` over the rows of every value of ``group``, its results as rows of ``schema``."""
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def all_of(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        keys = rows.column("group").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        found = [x for a, b in zip(cuts, cuts[1:]) for x in each(rows.slice(a, b - a))]
+        return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*found))))) if found else None
+
+    return map_group_batches(rows, all_of, schema, order)
+
+
 class Parts:
     """The connected parts of the rows of one group, and the links that joined them."""
 

@@ -12,6 +12,7 @@ from airspan.llm.langid import fit, predict
 from airspan.llm.linededup import drop_boilerplate
 from airspan.llm.neardup import near_duplicates
 from airspan.llm.packing import pack
+from airspan.llm.passages import repeated_passages
 from airspan.llm.quality import quality
 from airspan.llm.secrets import ACCESS, ALLOWED, ASSIGN, CLASSES, HEX, KINDS, find_secrets, span_text
 from airspan.llm.text import held_out
@@ -171,3 +172,8 @@ def op9_toxicity(spark, sf_dir):
     model = toxicity.fit(learnt.select("text", "label"))
     scored = toxicity.score(docs, model, "text", F.col("doc_id"), held_out(F.col("doc_id"), 3).alias("held_out"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op10_passages")
+def op10_passages(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
