@@ -194,24 +194,33 @@ def neighbours(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
             after = np.where(np.concatenate([first[1:], [True]]), CLASSES, np.concatenate([cls[1:], [CLASSES]]))
             total[: size * k] += np.bincount(ids * k + before, minlength=size * k)
             total[size * k:] += np.bincount(ids * k + after, minlength=size * k)
-        table = total.reshape(2, size, k)
-        chunks = [(c, table[:, c * CHUNK: (c + 1) * CHUNK]) for c in range(-(-size // CHUNK))]
-        chunks = [(c, t.tobytes()) for c, t in chunks if t.any()]
-        if chunks:
-            numbers, data = zip(*chunks)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(data, pa.binary())], ["group", "counts"])
+        # What is not nought, by chunks of ids: a small task says little.
+        at = np.flatnonzero(total)
+        side, word, cls = at // (size * k), at // k % size, at % k
+        chunk = word // CHUNK
+        place = ((side * CHUNK + word % CHUNK) * k + cls).astype("<u4")
+        order = np.argsort(chunk, kind="stable")
+        numbers, begins = np.unique(chunk[order], return_index=True)
+        if len(numbers):
+            cuts = [*begins.tolist(), len(at)]
+            parts = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+            counts = total[at].astype("<u4")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers, pa.int64()), pa.array([place[p].tobytes() for p in parts], pa.binary()),
+                 pa.array([counts[p].tobytes() for p in parts], pa.binary())], ["group", "places", "counts"])
 
     def add(rows: pa.RecordBatch) -> list[tuple]:
-        total = sum(np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist())
+        total = np.zeros(2 * CHUNK * k, np.int64)
+        for places, counts in zip(rows.column("places").to_pylist(), rows.column("counts").to_pylist()):
+            total[np.frombuffer(places, "<u4")] += np.frombuffer(counts, "<u4")
         return [(rows.column("group")[0].as_py(), total.tobytes())]
 
-    partial = texts.select("ids").mapInArrow(run, "group long, counts binary")
-    out = np.zeros((2, size, k), np.int64)
+    partial = texts.select("ids").mapInArrow(run, "group long, places binary, counts binary")
+    out = np.zeros((2, -(-size // CHUNK) * CHUNK, k), np.int64)
     # The table of all clustered words and groups, bounded by the share they must have.
     for row in map_groups(partial, add, "chunk long, counts binary").toLocalIterator():
-        part = np.frombuffer(row["counts"], np.int64).reshape(2, -1, k)
-        out[:, row["chunk"] * CHUNK: row["chunk"] * CHUNK + part.shape[1]] = part
-    return out
+        out[:, row["chunk"] * CHUNK: (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64).reshape(2, CHUNK, k)
+    return out[:, :size]
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:

@@ -72,7 +72,10 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
         while n:
             gap = next((g for g in range(length, size + 1) if gaps.get(g)), None)
             if gap is None:
-                gaps[size - length].append(((length,), n))
+                per = size // length
+                for k, times in ((per, n // per), (n % per, 1)):
+                    if k and times:
+                        gaps[size - k * length].append(((length,) * k, times))
                 break
             pattern, m = gaps[gap].pop()
             times = min(m, n)
