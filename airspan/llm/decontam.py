@@ -43,8 +43,8 @@ def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes = hashes_of(clean)
     hashes[pc.binary_length(clean).to_numpy(zero_copy_only=False) == 0] = NO_WORD
     found = hashes[codes] if len(codes) else np.zeros(0, np.uint64)
-    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    places = np.arange(len(found)) - np.repeat(begins, ends - begins)
+    sizes = np.diff(np.concatenate([[0], ends]))
+    places = np.arange(len(found)) - np.repeat(ends - sizes, sizes)
     keep = found != NO_WORD
     kept = np.concatenate([[0], np.cumsum(keep)])
     return kept[ends], found[keep], places[keep]

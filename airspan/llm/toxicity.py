@@ -141,19 +141,21 @@ def posterior(fires: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """The probability of each text to be toxic, from who fires (texts x voters) and the given labels,
     which are one voter more that never abstains.
 
-    The first round takes the voters as independent. Correlations are those that are then left within the
-    classes; a voter shares its weight with the voters that it is correlated with in the second."""
+    Correlations are those within the rows of each given label; a voter shares its weight with the voters
+    that it is correlated with. They are not taken from the estimate, where many copies of a voter would
+    have made themselves the truth and seem independent."""
     votes = np.concatenate([fires, labels[:, None] == 1], axis=1).astype(float)
-    start = np.where(labels == 1, 0.95, 0.05)
-    p = _expected(votes, start, np.ones(votes.shape[1]))
-    on1, on0 = _rates(votes, p)
-    rest = votes - np.outer(p, on1) - np.outer(1 - p, on0)
+    given = np.where(labels == 1, 1.0, 0.0)
+    on1, on0 = _rates(votes, given)
+    rest = votes - np.outer(given, on1) - np.outer(1 - given, on0)
     cov = rest.T @ rest / max(1, len(votes))
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     together = cov / np.outer(sd, sd)
     together = np.where(together >= CORRELATED, np.minimum(together, 1), 0)
     np.fill_diagonal(together, 0)
-    return _expected(votes, start, 1 / (1 + together.sum(axis=1)))
+    # The label itself is left over as a constant within its classes.
+    together[-1], together[:, -1] = 0, 0
+    return _expected(votes, np.where(labels == 1, 0.95, 0.05), 1 / (1 + together.sum(axis=1)))
 
 
 def _features(rows: np.ndarray, voters: np.ndarray, hits: np.ndarray, size: int) -> np.ndarray:

@@ -36,8 +36,8 @@ def test_gram_counts_do_not_depend_on_the_other_texts():
     assert has.tolist() == [True, False, False, True, True, False]
     for i, t in enumerate(texts):
         assert (langid.gram_counts([t])[0][0] == together[i]).all()
-    # " das haus ": 7 letters, 9 pairs, and 6 triples without a separator within
-    assert together[0].sum() == 7 + 9 + 6
+    # " das haus ": 7 letters, 9 pairs, and 7 triples without a separator within
+    assert together[0].sum() == 7 + 9 + 7
 
 
 def test_texts_unlike_any_language_are_rejected(spark):
