@@ -192,7 +192,8 @@ def rules_accepted(spark, sf_dir):
 
 
 def _changes(spark, sf_dir):
-    """A change for each customer's rule, a second one for many of them, an insert per supplier."""
+    """A change for each customer's rule, a second one for many of them, some of which are gone by
+    then, and an insert per supplier, some of them faulty."""
     customers, suppliers = sample.table(spark, sf_dir, "customer"), sample.table(spark, sf_dir, "supplier")
     key = F.col("key")
     no = F.lit(False)
@@ -202,7 +203,7 @@ def _changes(spark, sf_dir):
             ("pollutant", "string"), ("operator", "string"), ("threshold", "double"),
             ("time_window", "string"), ("enabled", "boolean")]],
         *[cols.get(f"set_{c}", no).alias(f"set_{c}") for c in a.SETTABLE])
-    kind = F.pmod(key, F.lit(5))
+    kind, fault = F.pmod(key, F.lit(5)), F.pmod(key, F.lit(7))
     first = shape(
         customers.withColumn("key", F.col("c_custkey")), seq=key, id=key + 1000,
         action=F.when(kind == 1, "delete").otherwise("update"),
@@ -214,7 +215,9 @@ def _changes(spark, sf_dir):
         action=F.lit("update"), threshold=F.lit(2.5), set_threshold=F.lit(True))
     inserts = shape(
         suppliers.withColumn("key", F.col("s_suppkey")), seq=key + 20_000_000, action=F.lit("insert"),
-        name=F.col("s_name"), pollutant=F.lit("CO"), operator=F.lit("gt"), threshold=key.cast("double"))
+        name=F.when(fault == 0, " ").otherwise(F.col("s_name")),
+        pollutant=F.when(fault == 1, "zzz").otherwise("CO"), operator=F.when(fault == 2, "nope").otherwise("gt"),
+        threshold=F.when(fault != 3, key.cast("double")), station_id=F.when(fault == 4, -5))
     return first.unionByName(second).unionByName(inserts)
 
 
@@ -232,19 +235,25 @@ kept AS (SELECT r.id, r.name, CASE WHEN f.kind = 0 THEN NULL ELSE r.station_id E
 @query("rules_apply", with_sql(
     f"""SELECT * FROM kept UNION ALL
         SELECT ((SELECT max(id) FROM rules) + row_number() OVER (ORDER BY s_suppkey))::INTEGER, s_name, NULL, 'co', 'gt',
-               s_suppkey::DOUBLE, NULL, TRUE, TIMESTAMP '{MADE_AT}' FROM supplier""", RULES_SQL, _CHANGED_SQL))
+               s_suppkey::DOUBLE, NULL, TRUE, TIMESTAMP '{MADE_AT}' FROM supplier WHERE s_suppkey % 7 > 4""",
+    RULES_SQL, _CHANGED_SQL))
 def rules_apply(spark, sf_dir):
-    return a.apply_rule_changes(sample.alert_rules(spark, sf_dir), _changes(spark, sf_dir), _made_at())
+    return a.apply_rule_changes(
+        sample.alert_rules(spark, sf_dir), _changes(spark, sf_dir), _made_at(), sample.stations(spark, sf_dir))
 
 
 @query("rules_outcomes", with_sql(
     """SELECT key AS seq, CASE WHEN kind = 2 AND key % 10 = 2 THEN 'invalid operator'
                                WHEN kind = 3 THEN 'no fields to update' ELSE 'ok' END AS outcome FROM first
-       UNION ALL SELECT s_suppkey + 10000000, CASE WHEN s_suppkey * 2 + 1000 IN (SELECT id FROM rules) THEN 'ok'
-                               ELSE 'rule not found' END FROM supplier""", RULES_SQL, _CHANGED_SQL))
+       UNION ALL SELECT s_suppkey + 10000000, CASE WHEN s_suppkey * 2 + 1000 IN (SELECT id FROM rules)
+                               AND s_suppkey * 2 + 1000 NOT IN (SELECT id FROM first WHERE kind = 1) THEN 'ok'
+                               ELSE 'rule not found' END FROM supplier
+       UNION ALL SELECT s_suppkey + 20000000, coalesce(['name is required', 'pollutant must be one of: pm25,pm10,so2,no2,o3,co',
+                               'operator must be one of: gt,ge,lt,le', 'threshold must be numeric', 'station_id not found'][
+                               (s_suppkey % 7 + 1)::INTEGER], 'ok') FROM supplier""", RULES_SQL, _CHANGED_SQL))
 def rules_outcomes(spark, sf_dir):
     return a.change_outcomes(
-        sample.alert_rules(spark, sf_dir), _changes(spark, sf_dir)).select("seq", "outcome")
+        sample.alert_rules(spark, sf_dir), _changes(spark, sf_dir), sample.stations(spark, sf_dir)).select("seq", "outcome")
 
 
 @query("events_after_rule_delete", with_sql(

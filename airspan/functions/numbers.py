@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# What counts as blank at either end of a text, and as a number.
+# What counts as blank at either end of a text, as a number, and as a comma between
+# thousands: one between a digit and three digits, which a dot or the end follows.
 BLANKS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -12,7 +13,7 @@ BLANKS = (
 LIKELY_NUMBER = r"[0-9]|(?i)inf"
 NUMBER_OR_INFINITE = r"(?i)^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$|^[+-]?inf(inity)?$"
 LONE_COMMA = r"^([^,.]*),([^,.]*)$"
-THOUSANDS_COMMA = r"(?<=[0-9]),(?=[0-9]{3}([.]|$))"
+THOUSANDS_COMMA = r"(?<=\d),(?=\d{3}(\.|$))"
 ALL_DOTS_BUT_LAST = r"[.](?=[^.]*[.])"
 
 

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from airspan.schemas import name_col
 
 
+FIXED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
 def one_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], keep: str = "last"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], keep: str = "last",
+    total: bool = False,
 ) -> DataFrame:
     """Keeps the ``last`` or ``first`` row of each key in the given order.
 
     An aggregate, not a window: copies of a key collapse before the shuffle, so a key that
-    holds a third of all rows never meets in one task.
+    holds a third of all rows never meets in one task. Say ``total`` where no two rows of a key
+    have the same order: columns of fixed width are then picked one by one, which a hash
+    aggregate can do, while a whole row needs a sort.
     """
     if keep not in ("first", "last"):
         raise ValueError("keep must be 'first' or 'last'")
@@ -23,6 +29,10 @@ def one_per_key(
     marks = [F.col(name_col(o)) if isinstance(o, str) else o for o in order]
     mark = marks[0] if len(marks) == 1 else F.struct(*marks)
     pick = F.max_by if keep == "last" else F.min_by
+    if total and len(marks) == 1 and all(isinstance(df.schema[c].dataType, FIXED) for c in rest):
+        picked = df.groupBy(*[F.col(name_col(k)) for k in keys]).agg(
+            *[pick(F.col(name_col(c)), mark).alias(c) for c in rest])
+        return picked.select(*[F.col(name_col(c)) for c in df.columns])
     packed = F.struct(*[F.col(name_col(c)) for c in rest])
     picked = df.groupBy(*[F.col(name_col(k)) for k in keys]).agg(pick(packed, mark).alias("_row"))
     return picked.select(
@@ -46,4 +56,5 @@ def merge_rows(
     columns = existing.columns
     new = one_per_key(updates, keys, order).select(*columns)
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return one_per_key(both, keys, ["_new"]).drop("_new")
+    # A key has one old and one new row at most.
+    return one_per_key(both, keys, ["_new"], total=True).drop("_new")

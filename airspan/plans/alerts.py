@@ -9,9 +9,12 @@ from airspan.functions.texts import alert_sentence, value_text
 from airspan.operators.fields import in_time_range
 from airspan.operators.latest import latest_per_station
 from airspan.operators.order import page, with_row_number
+from airspan.operators.sizing import BROADCAST_ROWS
 from airspan.schemas import ALERT_RULES, FIELD_COLUMNS, RULE_OPERATORS
 
 EVENT_KEY = ["rule_id", "station_id", "ts"]
+# Parts of the rules of one pollutant, where they are too many to be sent to every executor.
+RULE_PARTS = 64
 
 # The reasons for which a rule is turned down, in the order they are checked.
 NO_NAME = "name is required"
@@ -114,8 +117,7 @@ def rule_hits(
 
     The newest readings become one row per station and pollutant. Rules for one station then
     join on station and pollutant, rules for all of them on the pollutant, so no rule is paired
-    with a station or pollutant it does not watch. Unevenly many rules per pollutant are split
-    by the optimizer's skew handling when the rules are too many to broadcast.
+    with a station or pollutant it does not watch.
     """
     usable = usable_rules(rules, rule_id).select(
         F.col("id").alias("rule_id"), F.col("station_id").alias("_for"),
@@ -128,12 +130,21 @@ def rule_hits(
         .filter(F.col("value").isNotNull())
     )
     watched = F.col("pollutant") == F.col("_watched")
-    everywhere = values.join(usable.filter("_for is null"), watched)
+    # Six pollutants would be six tasks: the rules go to where the readings are while they are
+    # counted to be few; beyond that each reading meets them in one of several parts.
+    everywhere_rules = usable.filter("_for is null").drop("_for")
+    if everywhere_rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        everywhere = values.join(F.broadcast(everywhere_rules), watched)
+    else:
+        part = F.pmod(F.xxhash64("rule_id"), F.lit(RULE_PARTS))
+        spread = values.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(RULE_PARTS - 1))))
+        everywhere = spread.join(
+            everywhere_rules.withColumn("_rule_part", part), watched & (F.col("_part") == F.col("_rule_part")))
     single = values.join(
         usable.filter("_for is not null"), watched & (F.col("station_id") == F.col("_for")))
     met = breaks(F.col("value"), F.col("operator"), F.col("threshold"))
-    return everywhere.unionByName(single).filter(met).select(
-        *EVENT_KEY, "pollutant", "value", "operator", "threshold")
+    found = [*EVENT_KEY, "pollutant", "value", "operator", "threshold"]
+    return everywhere.filter(met).select(*found).unionByName(single.filter(met).select(*found))
 
 
 def new_events(hits: DataFrame, events: DataFrame) -> DataFrame:
@@ -185,11 +196,13 @@ def typed_rules(accepted: DataFrame, *extra: str) -> DataFrame:
         to_number(F.col("threshold")).alias("threshold"), "time_window", enabled.alias("enabled"))
 
 
-def change_outcomes(rules: DataFrame, changes: DataFrame) -> DataFrame:
-    """Updates and deletes with ``outcome``: ok, or the reason why not.
+def change_outcomes(rules: DataFrame, changes: DataFrame, stations: DataFrame | None = None) -> DataFrame:
+    """All changes with ``outcome``: ok, or the reason why not. They count in the order of ``seq``: what
+    follows the deletion of a rule finds no rule.
 
     A change row has ``seq``, ``action`` (insert, update, delete), ``id``, the settable columns
-    and a flag ``set_<column>`` for each, as a null can be a value to set.
+    and a flag ``set_<column>`` for each, as a null can be a value to set. Inserts are checked as
+    ``validate_rules`` does where the stations are given; else only updates and deletes are judged.
     """
     known = rules.select(F.col("id").alias("_known"))
     any_set = F.greatest(*[F.coalesce(F.col(f"set_{c}"), F.lit(False)).cast("int") for c in SETTABLE]) == 1
@@ -201,25 +214,38 @@ def change_outcomes(rules: DataFrame, changes: DataFrame) -> DataFrame:
               & ~F.coalesce(F.lower("operator"), F.lit("")).isin(RULE_OPERATORS), BAD_OPERATOR_UPDATE)
         .when(update & F.col("set_threshold") & F.col("threshold").isNull(), BAD_THRESHOLD)
         .when(update & ~any_set, NO_FIELDS)
-        .when(F.col("_known").isNull(), NO_RULE)
+        .when(F.col("_known").isNull() | (F.col("_gone") < F.col("seq")), NO_RULE)
         .otherwise("ok")
     )
     edits = changes.filter("action in ('update', 'delete')")
-    return edits.join(known, F.col("id") == F.col("_known"), "left").withColumn(
-        "outcome", outcome).drop("_known")
+    gone = edits.filter("action = 'delete'").groupBy(F.col("id").alias("_gone_id")).agg(F.min("seq").alias("_gone"))
+    edits = (edits.join(known, F.col("id") == F.col("_known"), "left").join(gone, F.col("id") == F.col("_gone_id"), "left")
+             .withColumn("outcome", outcome).drop("_known", "_gone", "_gone_id"))
+    if stations is None:
+        return edits
+    texts = {c: F.col(c).cast("string").alias(c) for c in SETTABLE}
+    inserts = changes.filter("action = 'insert'")
+    checked = validate_rules(inserts.select("seq", *texts.values()), stations).select(
+        F.col("seq").alias("_seq"), "reason")
+    return edits.unionByName(inserts.join(checked, F.col("seq") == F.col("_seq")).select(
+        *changes.columns, F.coalesce("reason", F.lit("ok")).alias("outcome")))
 
 
-def apply_rule_changes(rules: DataFrame, changes: DataFrame, created_at: Column | None = None) -> DataFrame:
+def apply_rule_changes(
+    rules: DataFrame, changes: DataFrame, created_at: Column | None = None, stations: DataFrame | None = None
+) -> DataFrame:
     """The rule table after the changes. Several updates of a rule count field by field, the last
-    one that sets a field wins; a deleted rule is gone. Inserts get the next free ids."""
+    one that sets a field wins; a deleted rule is gone. Inserts that pass the checks get the next
+    free ids; without the stations it is not asked whether a rule's station exists."""
     created_at = F.current_timestamp().cast("timestamp_ntz") if created_at is None else created_at
-    good = change_outcomes(rules, changes).filter("outcome = 'ok'")
+    judged = change_outcomes(rules, changes, _named_stations(changes) if stations is None else stations)
+    good = judged.filter("outcome = 'ok'")
     folds = [F.bool_or(F.col("action") == "delete").alias("_deleted")]
     for c in SETTABLE:
         sets = (F.col("action") == "update") & F.coalesce(F.col(f"set_{c}"), F.lit(False))
         folds.append(F.max_by(c, F.when(sets, F.col("seq"))).alias(f"_{c}"))
         folds.append(F.bool_or(sets).alias(f"_set_{c}"))
-    edits = good.groupBy(F.col("id").alias("_id")).agg(*folds)
+    edits = good.filter("action != 'insert'").groupBy(F.col("id").alias("_id")).agg(*folds)
     value = {
         "name": strip_blanks(F.coalesce(F.col("_name"), F.lit(""))),
         "pollutant": F.lower("_pollutant"),
@@ -233,7 +259,7 @@ def apply_rule_changes(rules: DataFrame, changes: DataFrame, created_at: Column
             F.when(F.col(f"_set_{c}"), value.get(c, F.col(f"_{c}"))).otherwise(F.col(c)).alias(c)
             if c in SETTABLE else F.col(c) for c in ALERT_RULES.names])
     )
-    inserts = changes.filter("action = 'insert'")
+    inserts = good.filter("action = 'insert'").drop("outcome")
     top = rules.agg(F.max("id")).first()[0] or 0
     fresh = (
         with_row_number(inserts, ["seq"], "_row")
@@ -245,6 +271,10 @@ def apply_rule_changes(rules: DataFrame, changes: DataFrame, created_at: Column
     return kept.unionByName(fresh.select(*ALERT_RULES.names))
 
 
+def _named_stations(changes: DataFrame) -> DataFrame:
+    return changes.select(F.col("station_id").cast("int").alias("id")).filter("id is not null").distinct()
+
+
 def drop_orphan_events(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Events go with their rule."""
     return events.join(rules.select(F.col("id").alias("rule_id")), "rule_id", "left_semi")

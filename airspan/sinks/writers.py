@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
@@ -26,8 +26,11 @@ def stored_or_none(spark: SparkSession, path: str, schema: StructType | None = N
     columns get their types from it rather than from what their values look like."""
     try:
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        # Any other refusal is an error: taken for an empty table, it would cost the old rows.
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def append_new(
@@ -36,9 +39,9 @@ def append_new(
 ) -> None:
     """Appends the rows whose key the table does not hold yet. Running it again adds nothing.
 
-    Where the table is partitioned by one of the keys, a text, the anti join prunes: only
-    partitions named in the batch can hold its keys. As a folder name cannot tell an empty text
-    from a missing one, both count as empty there.
+    Where the table is partitioned by one of the keys, a text, only the partitions named in the
+    batch are read: the batch's values, one per folder it writes, become a filter. As a folder
+    name cannot tell an empty text from a missing one, both count as empty there.
     """
     spark = batch.sparkSession
     if partition_by:
@@ -47,7 +50,9 @@ def append_new(
     if known is None:
         known = spark.createDataFrame([], batch.schema)
     elif partition_by:
-        known = known.fillna("", [partition_by]).join(batch.select(partition_by).distinct(), partition_by, "left_semi")
+        values = [r[0] for r in batch.select(partition_by).distinct().collect()]
+        named = F.col(partition_by).isin([v for v in values if v != ""])
+        known = known.filter(named | F.col(partition_by).isNull() if "" in values else named).fillna("", [partition_by])
     fresh = unseen_rows(batch, known, keys, order)
     writer = fresh.write.mode("append")
     if partition_by:

@@ -53,3 +53,26 @@ def test_update_can_set_null_and_unknown_rule_is_told(spark):
     assert 2 not in after and after[6]["threshold"] == 21.0 and len(after) == 7
     said = {r["seq"]: r["outcome"] for r in a.change_outcomes(rules, changes).collect()}
     assert said == {1: "ok", 2: "ok", 3: "ok", 4: "rule not found", 5: "no fields to update"}
+
+
+def test_changes_count_in_order_and_inserts_are_checked(spark):
+    rules, stations, _ = setup(spark)
+    flags = ", ".join(f"{'true' if c == 'threshold' else 'false'} as set_{c}" for c in a.SETTABLE)
+    changes = spark.sql(f"""
+        select s as seq, act as action, i as id, n as name, cast(null as int) station_id, p as pollutant, 'gt' as operator,
+               cast(9 as double) as threshold, cast(null as string) time_window, cast(null as boolean) enabled, {flags}
+        from values (1L, 'delete', 2, null, null), (2L, 'update', 2, null, null), (3L, 'delete', 2, null, null),
+                    (4L, 'update', 1, null, null), (5L, 'delete', 1, null, null), (6L, 'insert', null, ' ', 'co'),
+                    (7L, 'insert', null, 'n', 'zzz'), (8L, 'insert', null, 'n', 'CO') as t(s, act, i, n, p)""")
+    said = {r["seq"]: r["outcome"] for r in a.change_outcomes(rules, changes, stations).collect()}
+    assert said == {1: "ok", 2: a.NO_RULE, 3: a.NO_RULE, 4: "ok", 5: "ok", 6: a.NO_NAME, 7: a.BAD_POLLUTANT, 8: "ok"}
+    after = a.apply_rule_changes(rules, changes, stations=stations).collect()
+    before = {r["id"] for r in rules.collect()}
+    assert {r["id"] for r in after} == before - {1, 2} | {max(before) + 1}
+
+
+def test_rules_too_many_to_send_find_the_same(spark, monkeypatch):
+    rules, stations, m = setup(spark)
+    want = sorted(map(tuple, a.rule_hits(rules, stations, m).collect()))
+    monkeypatch.setattr(a, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, a.rule_hits(rules, stations, m).collect())) == want
