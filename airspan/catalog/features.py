@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from airspan.catalog.intake import _CLEAN_SQL, clean
 from airspan.catalog.registry import MEASUREMENTS_SQL, VALUES, query, with_sql
 from airspan.operators.lags import add_lags
-from airspan.operators.metrics import multi_output_metrics, rank_models, regression_metrics
+from airspan.operators.fields import distinct_sorted
+from airspan.operators.metrics import metrics_of, multi_output_metrics, rank_models, regression_metrics
 from airspan.operators.order import first_complete_rows
 from airspan.plans import features as f
 from airspan.sources import sample
@@ -215,7 +216,21 @@ def first_rows(spark, sf_dir):
     return first_complete_rows(rows, rows.columns, KEY)
 
 
-@query("random_split")
+@query("random_split", with_sql(
+    """SELECT "Estacion", datetime, ('0x' || substr(md5('42|' || "Estacion" || '|' || strftime(datetime, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT
+              < (0.2 * 4294967296)::BIGINT AS is_test FROM named""", *_BASE))
 def random_split(spark, sf_dir):
     rows = f.random_split(sample.named_measurements(spark, sf_dir), KEY)
-    return rows.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(*KEY, "is_test")
+
+
+@query("metrics_of_target", with_sql(
+    "SELECT target, model, round(r2, 6) AS r2 FROM metrics WHERE target = 'CO'", *_FRAME, METRICS_SQL))
+def metrics_of_target(spark, sf_dir):
+    rows = metrics_of(regression_metrics(scored(spark, sf_dir)), "CO")
+    return rows.select("target", "model", F.round("r2", 6).alias("r2"))
+
+
+@query("station_names", with_sql('SELECT DISTINCT "Estacion" FROM named', *_BASE))
+def station_names(spark, sf_dir):
+    return distinct_sorted(sample.named_measurements(spark, sf_dir), "Estacion")

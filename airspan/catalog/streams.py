@@ -72,17 +72,13 @@ def stream_upsert(spark, sf_dir):
              SELECT station_id, ts, max(event_id) AS event_id FROM v GROUP BY 1, 2) USING (station_id, ts, event_id))""",
     NEWEST_SQL, RULES_SQL, hits_sql("newest", "hits")))
 def stream_alerts(spark, sf_dir):
-    """Loads by stream, then watches the loaded table by stream."""
-    table, loaded = _places(spark)
-    jobs.upsert(versions(spark, sf_dir), table, loaded, ["event_id"]).awaitTermination()
-    path, checkpoint = _places(spark)
-    stored = spark.read.parquet(table)
-    stream = spark.readStream.schema(stored.schema).parquet(table)
-    jobs.watch_rules(
-        stream, sample.alert_rules(spark, sf_dir), sample.stations(spark, sf_dir), path, checkpoint,
-        table=table,
-    ).awaitTermination()
-    return spark.read.parquet(path).select(
+    """Loads by stream and checks the rules on what each batch brings."""
+    table, checkpoint = _places(spark)
+    events, newest = _places(spark)
+    jobs.load_and_watch(
+        versions(spark, sf_dir), sample.alert_rules(spark, sf_dir), sample.stations(spark, sf_dir), table, events,
+        newest, checkpoint, ["event_id"]).awaitTermination()
+    return jobs.recorded_events(spark, events).select(
         "rule_id", "station_id", "ts", "pollutant", "value", "operator", "threshold")
 
 
@@ -93,6 +89,6 @@ def stream_alerts(spark, sf_dir):
 def stream_hourly_avg(spark, sf_dir):
     """The hours closed at the end of the stream."""
     path, checkpoint = _places(spark)
-    jobs.aggregate_to(versions(spark, sf_dir), path, checkpoint).awaitTermination()
+    jobs.aggregate_to(versions(spark, sf_dir), path, checkpoint, delay="1 hour").awaitTermination()
     return spark.read.parquet(path).select(
         "station_id", "bucket", *[F.round(c, 6).alias(c) for c in VALUES])

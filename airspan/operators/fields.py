@@ -86,12 +86,6 @@ def drop_empty_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.filter(F.coalesce(*[F.col(name_col(c)) for c in columns]).isNotNull())
 
 
-def columns_with_values(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """The columns that are not null everywhere, from one pass of counts."""
-    counts = df.agg(*[F.count(F.col(name_col(c))).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if counts[i]]
-
-
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -152,9 +152,11 @@ def new_events(hits: DataFrame, events: DataFrame) -> DataFrame:
     return hits.join(events.select(*EVENT_KEY), EVENT_KEY, "left_anti")
 
 
-def record_events(hits: DataFrame, events: DataFrame, created_at: Column | None = None) -> DataFrame:
+def record_events(
+    hits: DataFrame, events: DataFrame, created_at: Column | None = None, top: int | None = None
+) -> DataFrame:
     """The event table after the hits: a known event gets the new value, operator and threshold,
-    a new one the next free id."""
+    a new one the next id after ``top``, the largest one, which is looked up if not given."""
     created_at = F.current_timestamp().cast("timestamp_ntz") if created_at is None else created_at
     changed = hits.select(
         *EVENT_KEY, *[F.col(c).alias(f"_{c}") for c in ("value", "operator", "threshold")],
@@ -163,7 +165,7 @@ def record_events(hits: DataFrame, events: DataFrame, created_at: Column | None
         F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
         if c in ("value", "operator", "threshold") else F.col(c)
         for c in events.columns])
-    top = events.agg(F.max("id")).first()[0] or 0
+    top = events.agg(F.max("id")).first()[0] or 0 if top is None else top
     fresh = with_row_number(new_events(hits, events), EVENT_KEY, "_row")
     fresh = fresh.withColumn("id", F.col("_row") + top + 1).withColumn("created_at", created_at)
     return updated.unionByName(fresh.select(*events.columns))

@@ -166,10 +166,11 @@ def fill_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def random_split(df: DataFrame, keys: Sequence[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``is_test``. Drawn from a hash of the row's key, so a row run again on another
-    executor, or read in another order, always lands on the same side."""
-    drawn = F.pmod(F.xxhash64(F.lit(seed), *[F.col(name_col(k)) for k in keys]), F.lit(1_000_000))
-    return df.withColumn("is_test", drawn < int(test_share * 1_000_000))
+    """Adds ``is_test``. Drawn from the md5 of the seed and the row's key as text, so a row run again on
+    another executor, in another order or by another engine, always lands on the same side."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(name_col(k)).cast("string") for k in keys])
+    drawn = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.withColumn("is_test", drawn < int(test_share * 2**32))
 
 
 def sequential_split(df: DataFrame, order: Sequence[str], test_share: float = 0.2) -> DataFrame:

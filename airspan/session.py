@@ -41,6 +41,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever it is stored; one that is not there is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so a lost executor costs nothing."""
     checkpoint_root(df.sparkSession)

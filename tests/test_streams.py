@@ -46,14 +46,14 @@ def test_upsert(spark, tmp_path):
 def test_bounded_intake_has_each_key_once(spark, tmp_path):
     rows, stream = in_files(spark, tmp_path)
     out = str(tmp_path / "out")
-    jobs.intake_within(stream.select(*KEY), out, str(tmp_path / "mark"), KEY).awaitTermination()
+    jobs.intake_within(stream.select(*KEY), out, str(tmp_path / "mark"), KEY, delay="2 hours").awaitTermination()
     assert same(rows.select(*KEY).distinct(), spark.read.parquet(out))
 
 
 def test_closed_hours_equal_the_batch(spark, tmp_path):
     rows, stream = in_files(spark, tmp_path)
     out = str(tmp_path / "out")
-    jobs.aggregate_to(stream, out, str(tmp_path / "mark"), agg="max").awaitTermination()
+    jobs.aggregate_to(stream, out, str(tmp_path / "mark"), agg="max", delay="1 hour").awaitTermination()
     newest = rows.agg(F.max("ts")).first()[0]
     batch = bucket_aggregate(rows, "hourly", "max").filter(
         F.col("bucket") + F.expr("interval 2 hours") <= F.lit(str(newest)).cast("timestamp_ntz"))
@@ -82,11 +82,49 @@ def test_late_reading_raises_nothing(spark, tmp_path):
     rows("03", 9.0).write.parquet(str(tmp_path / "in"))
     rules = spark.sql("select 1 id, 'r' name, cast(null as int) station_id, 'co' pollutant, 'gt' operator, 5D threshold, '1h' time_window, true enabled, timestamp_ntz'2024-01-01 00:00:00' created_at")
     stations = spark.createDataFrame([(1, "A")], "id int, name string")
-    for name, table, n in (("with", str(tmp_path / "table"), 0), ("without", None, 1)):
+    for name, newest, n in (("with", str(tmp_path / "newest"), 0), ("without", None, 1)):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         out = str(tmp_path / name)
-        jobs.watch_rules(stream, rules, stations, out, out + "-mark", table=table).awaitTermination()
+        jobs.watch_rules(stream, rules, stations, out, out + "-mark", newest=newest, table=str(tmp_path / "table")).awaitTermination()
         assert spark.read.parquet(out).count() == n
+    # the reading of an event sent anew: the event gets the value and keeps its id
+    jobs.check_rules(rows("03", 7.0).select(*jobs.COLUMNS), rules, stations, str(tmp_path / "without"))
+    assert [(r["id"], r["value"]) for r in jobs.recorded_events(spark, str(tmp_path / "without")).collect()] == [(1, 7.0)]
+    jobs.check_rules(rows("03", 7.0).select(*jobs.COLUMNS), rules, stations, str(tmp_path / "without"))
+    assert spark.read.parquet(str(tmp_path / "without")).count() == 2
+
+
+def test_newest_readings_have_the_last_word_and_few_versions(spark, tmp_path):
+    path = str(tmp_path / "newest")
+    row = lambda station, day, co: spark.sql(
+        f"select {station} station_id, timestamp_ntz'2024-01-{day} 00:00:00' ts, null pm2_5, null pm10, null so2, null no2, null o3, {co}D co").select(
+        *[F.col(c).cast("double") if c in VALUES else F.col(c) for c in jobs.COLUMNS])
+    for station, day, co in ((1, "02", 1.0), (2, "01", 2.0), (1, "01", 3.0), (1, "02", 4.0)):
+        seen = jobs.keep_newest(row(station, day, co), path).collect()
+        assert [r["station_id"] for r in seen] == [station]
+    stored = spark.read.parquet(path)
+    last = stored.filter(f"version = {stored.agg(F.max('version')).first()[0]}").collect()
+    assert sorted((r["station_id"], r["co"]) for r in last) == [(1, 4.0), (2, 2.0)]
+    assert stored.select("version").distinct().count() == 2
+
+
+def test_appends_read_only_the_folders_of_the_batch(spark, tmp_path):
+    from airspan.sinks.writers import append_new
+    path = str(tmp_path / "table")
+    df = spark.createDataFrame([("d1", 1), ("d2", 2), ("", 3), (None, 4)], "day string, k int")
+    append_new(df, path, ["day", "k"], ["k"], "day")
+    append_new(df.limit(1).unionByName(spark.createDataFrame([("d1", 9)], df.schema)), path, ["day", "k"], ["k"], "day")
+    append_new(df, path, ["day", "k"], ["k"], "day")
+    assert sorted((r["day"] or "", r["k"]) for r in spark.read.parquet(path).collect()) == [("", 3), ("", 4), ("d1", 1), ("d1", 9), ("d2", 2)]
+    plan = spark.read.schema(df.schema).parquet(path).filter(F.col("day").isin(["d1"]))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    _, stream = in_files(spark, tmp_path)
+    query = jobs.intake_within(stream.select(*KEY), str(tmp_path / "out"), str(tmp_path / "mark"), KEY, delay="1 hour")
+    query.awaitTermination()
+    assert jobs.late_rows(query) == 0
 
 
 def test_csv_files_as_stream(spark, tmp_path):
