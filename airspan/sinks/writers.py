@@ -12,13 +12,17 @@ from airspan.operators.dedup import unseen_rows
 
 
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    writer = df.write.mode("overwrite")
-    writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)
+    if fmt == "csv":
+        write_csv(df, path)
+    else:
+        df.write.mode("overwrite").format(fmt).save(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV files with a header each; nulls are empty cells."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV files with a header each; nulls are empty cells. Quotes are doubled and blanks kept, so that
+    texts are read again as they were."""
+    df.write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def stored_or_none(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
