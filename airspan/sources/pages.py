@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
@@ -84,6 +87,41 @@ class _Tree(HTMLParser):
         self.open.parts.append(data)
 
 
+# A page of these parts alone - texts, and tags with plain attributes - is read by one pattern. The parser
+# takes any page, but several times as long; comments, scripts and broken tags are left to it.
+_ATTRIBUTE = r"""[ \t\n]+[a-zA-Z][a-zA-Z-]*(?:=(?:"[^"<>]*"|'[^'<>]*'|[a-zA-Z0-9_.-]+))?"""
+_PART = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:{_ATTRIBUTE})*)[ \t\n]*(/?)>|([^<]+)")
+_NAME_AND_VALUE = re.compile(r"""[ \t\n]+([a-zA-Z][a-zA-Z-]*)(?:=(?:"([^"]*)"|'([^']*)'|([a-zA-Z0-9_.-]+)))?""")
+_RAW_TEXT = re.compile(r"<(?:script|style|xmp|iframe|noembed|noframes|noscript|textarea|title|plaintext)", re.I)
+
+
+def _read_plain(tree: _Tree, page: str) -> bool:
+    """Feeds a page of plain parts to the tree; False, with nothing of use in it, for any other."""
+    if _RAW_TEXT.search(page):
+        return False
+    at = 0
+    for part in _PART.finditer(page):
+        if part.start() != at:
+            return False
+        at = part.end()
+        closing, tag, attributes, alone, text = part.groups()
+        if text is not None:
+            tree.handle_data(unescape(text) if "&" in text else text)
+            continue
+        tag = tag.lower()
+        if closing:
+            if attributes or alone:
+                return False
+            tree.handle_endtag(tag)
+            continue
+        named = [] if not attributes else [
+            (name.lower(), unescape(a or b or c)) for name, a, b, c in _NAME_AND_VALUE.findall(attributes)]
+        tree.handle_starttag(tag, named)
+        if alone:
+            tree.handle_endtag(tag)
+    return at == len(page)
+
+
 def _joined(node: _Node, gap: str) -> str:
     return gap.join(t.strip() for t in node.texts() if t.strip())
 
@@ -104,8 +142,8 @@ def _station_of(root: _Node) -> str:
     return _joined(after[0], "") if after else ""
 
 
-def _rows_of(root: _Node) -> list[list[str]]:
-    """Cell texts of the body rows of the first table in the content area."""
+def _rows_of(root: _Node, most: int | None = None) -> list[list[str]]:
+    """Cell texts of the body rows, or the first of them, of the first table in the content area."""
     area = (
         root.first(lambda n: _is_div(n, "content-2") and _is_div(n.parent, "content"))
         or root.first(lambda n: _is_div(n, "content-2"))
@@ -115,28 +153,32 @@ def _rows_of(root: _Node) -> list[list[str]]:
     body = table.first(lambda n: n.tag == "tbody") if table else None
     if body is None:
         return []
-    rows = [n for n in body.walk() if n.tag == "tr"]
+    rows = islice((n for n in body.walk() if n.tag == "tr"), most)
     return [[_joined(c, " ") for c in row.walk() if c.tag == "td"] for row in rows]
 
 
 def _root_of(html: str) -> _Node:
     tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    if not _read_plain(tree, html):
+        tree = _Tree()
+        tree.feed(html)
+        tree.close()
     return tree.root
 
 
-def _parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = []
-        for page_id, html in zip(batch["page_id"], batch["html"]):
-            root = _root_of(html or "")
-            rows = _rows_of(root)
-            station = _station_of(root) if rows else ""
-            for i, cells in enumerate(rows):
-                padded = (cells + [""] * 8)[:8]
-                found.append((page_id, station, i, len(cells), not any(cells), *padded))
-        yield pd.DataFrame(found, columns=_ROW_COLUMNS)
+def _row_parser(most: int | None):
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for page_id, html in zip(batch["page_id"], batch["html"]):
+                root = _root_of(html or "")
+                rows = _rows_of(root, most)
+                station = _station_of(root) if rows else ""
+                for i, cells in enumerate(rows):
+                    padded = (cells + [""] * 8)[:8]
+                    found.append((page_id, station, i, len(cells), not any(cells), *padded))
+            yield pd.DataFrame(found, columns=_ROW_COLUMNS)
+    return parse
 
 
 def _parse_stations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,14 +187,15 @@ def _parse_stations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": batch["page_id"], "station": names})
 
 
-def table_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, station, row_no, n_cells, blank, c0..c7): the table rows as they stand.
+def table_rows(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """(page_id, station, row_no, n_cells, blank, c0..c7): the table rows as they stand, or the first
+    ``most`` of each page.
 
     A page without the word of the content area or without a table has no rows, so it is not
     sent to Python at all.
     """
     likely = pages.filter(F.col("html").contains("content") & F.col("html").rlike("(?i)<table"))
-    return spread_if_few(likely.select("page_id", "html")).mapInPandas(_parse_rows, _ROW_SCHEMA)
+    return spread_if_few(likely.select("page_id", "html")).mapInPandas(_row_parser(most), _ROW_SCHEMA)
 
 
 def parse_pages(pages: DataFrame, first_only: bool = False) -> DataFrame:
@@ -161,7 +204,7 @@ def parse_pages(pages: DataFrame, first_only: bool = False) -> DataFrame:
     All rows but blank ones, with comma rule A; or, ``first_only``, just the newest row of each
     page, where one of fewer than two cells is no row, with comma rule B.
     """
-    rows = table_rows(pages)
+    rows = table_rows(pages, 1 if first_only else None)
     if first_only:
         rows, fix = rows.filter("row_no = 0 and n_cells >= 2"), commas_to_dots_if_number
     else:

@@ -1,5 +1,8 @@
 """Parsing of station pages."""
 
+import random
+
+from airspan.sources import pages as module
 from airspan.sources.pages import parse_pages, station_of_pages
 
 TABLE = """<div class="leaflet-popup-content"><table><tr><td><b>Estación:</b></td><td> San  Borja </td></tr></table>
@@ -43,3 +46,36 @@ def test_content_without_second_part_and_char_references(spark):
     html = ("<table><tr><td><strong>Estaci&oacute;n:</strong></td><td>Ate</td></tr></table>"
             "<div class='content'><TABLE><TBODY><tr><td>d</td><td>t</td></tr></TBODY></TABLE></div>")
     assert rows(parse_pages(pages(spark, html))) == [(0, "Ate", "d", "t", "", "", "", "", "", "")]
+
+
+def shape(node):
+    return [(p.tag, p.classes, shape(p)) if isinstance(p, module._Node) else p for p in node.parts]
+
+
+def merged(parts):
+    """Neighbouring texts as one: the parser may give a text in several parts."""
+    out = []
+    for p in parts:
+        p = (p[0], p[1], merged(p[2])) if isinstance(p, tuple) else p
+        if isinstance(p, str) and out and isinstance(out[-1], str):
+            out[-1] += p
+        else:
+            out.append(p)
+    return out
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    rng = random.Random(1)
+    bits = ["<div class='a b'>", "</div>", '<td CLASS="x" title="a class=y">', "</TD>", "text & more", " &nbsp;&eacute; ", "<br>", "<br/>",
+            "<b>", "</b>", "<p class=q>", "<tr >", "</tr >", "\n", "a > b", "<img src=x.png>", "<i/>", "<td class>", "&amp", "</x>",
+            "<!-- c -->", "<script>a<b</script>", "<a href='x>y'>", "< d", "<td\r>", "<style>", "&#233;", "</", "<title>x<b></title>"]
+    plain = 0
+    for _ in range(3000):
+        page = "".join(rng.choice(bits[: 21 if rng.random() < 0.7 else len(bits)]) for _ in range(rng.randrange(0, 12)))
+        fast, slow = module._Tree(), module._Tree()
+        slow.feed(page)
+        slow.close()
+        if module._read_plain(fast, page):
+            plain += 1
+            assert merged(shape(fast.root)) == merged(shape(slow.root)), page
+    assert plain > 1500
