@@ -217,8 +217,8 @@ def neighbours(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
 
     partial = texts.select("ids").mapInArrow(run, "group long, places binary, counts binary")
     out = np.zeros((2, -(-size // CHUNK) * CHUNK, k), np.int64)
-    # The table of all clustered words and groups, bounded by the share they must have.
-    for row in map_groups(partial, add, "chunk long, counts binary").toLocalIterator():
+    # The table of all clustered words and groups: at most (1 / CLUSTERED + GROUPS) * 2 * (CLASSES + 1) numbers.
+    for row in map_groups(partial, add, "chunk long, counts binary").collect():
         out[:, row["chunk"] * CHUNK: (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64).reshape(2, CHUNK, k)
     return out[:, :size]
 
