@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.join(least, "a").filter("b > a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")))
         # Small star: smaller neighbours and the node itself go to its smallest neighbour.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")

@@ -66,18 +66,21 @@ def map_groups(rows: DataFrame, each: Callable[[pa.RecordBatch], list[tuple]], s
 
 
 class Parts:
-    """The connected parts of the rows of one group, and the links that joined them."""
+    """The connected parts of the rows of one group."""
 
     def __init__(self, ids: np.ndarray):
         self.ids = ids
         self.part = np.arange(len(ids))
-        self.links: list[tuple[int, int]] = []
 
     def join(self, i: int, others: np.ndarray) -> None:
-        """Joins row i with the other rows; keeps one link to each part that was separate."""
-        others = others[self.part[others] != self.part[i]]
-        if not len(others):
-            return
-        parts, first = np.unique(self.part[others], return_index=True)
-        self.links += [(int(self.ids[i]), int(self.ids[j])) for j in others[first] if self.ids[i] != self.ids[j]]
-        self.part[np.isin(self.part, parts)] = self.part[i]
+        """Joins row i with the other rows."""
+        parts = np.unique(self.part[others])
+        if len(parts) > 1 or len(parts) and parts[0] != self.part[i]:
+            self.part[np.isin(self.part, parts)] = self.part[i]
+
+    def links(self) -> list[tuple[int, int]]:
+        """Each row's id with the smallest id of its part: as few as can be, and short ways between them."""
+        order = np.lexsort((self.ids, self.part))
+        part, ids = self.part[order], self.ids[order]
+        head = np.maximum.accumulate(np.where(np.append(True, part[1:] != part[:-1]), np.arange(len(part)), 0))
+        return [(int(a), int(b)) for a, b in zip(ids, ids[head]) if a != b]

@@ -135,7 +135,7 @@ def _plausible_links(rows: pa.RecordBatch, ones: int) -> list[tuple]:
     for i in range(len(ids) - 1):
         apart = np.bitwise_count(sketch[i + 1:] ^ sketch[i]).sum(axis=1, dtype=np.int32)
         parts.join(i, np.flatnonzero(apart <= ones) + i + 1)
-    return parts.links
+    return parts.links()
 
 
 def _exact_links(rows: pa.RecordBatch, percent: int) -> list[tuple]:
@@ -158,7 +158,7 @@ def _exact_links(rows: pa.RecordBatch, percent: int) -> list[tuple]:
         shared = np.bincount(holders[np.repeat(first[own], lengths) + steps], minlength=len(ids))
         similar = 100 * shared >= percent * (size[i] + size - shared)
         parts.join(i, np.flatnonzero(similar[i + 1:]) + i + 1)
-    return parts.links
+    return parts.links()
 
 
 def near_duplicates(
@@ -176,8 +176,7 @@ def near_duplicates(
     known = sigs.filter("n_shingles > 0 and doc_id is not null")
     # Copies: one row for each set, the smallest id stands for it.
     classes = durable(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    copies = (known.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"])
-              .filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    named = known.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "rep").distinct()
     reps = durable(known.join(classes.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi")
                    .dropDuplicates(["doc_id", "set_a", "set_b"]))
     # Documents that share a bucket and whose sketches allow the similarity fall into one cluster.
@@ -195,8 +194,13 @@ def near_duplicates(
     split = in_blocks(sets.join(weight, "component"), "component", F.ceil(F.col("n") / BLOCK_SHINGLES),
                       F.xxhash64("doc_id")).select("group", "doc_id", "shingles")
     links = map_groups(split, lambda rows: _exact_links(rows, percent), "a long, b long")
-    joined = components(links.unionByName(copies))
-    out = sigs.select("doc_id", "n_shingles").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    # An id of several texts links their classes. Other copies are no part of the graph, but follow the
+    # document that stands for them.
+    several = named.join(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "doc_id")
+    joined = components(links.unionByName(several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    of = named.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(
+        joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    out = sigs.select("doc_id", "n_shingles").join(of, "doc_id", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
