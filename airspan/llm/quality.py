@@ -47,15 +47,16 @@ def default_rules() -> list[Rule]:
     """Symbols, repeated words, capitals, word length, repeated lines, few different words, exclamations."""
     length = _share("word_chars", "n_words")
     variety = _share("n_distinct", "n_words")
+    longer = F.least(F.lit(1.0), F.pow(5000 / F.greatest(F.col("n_words"), F.lit(1)), F.lit(0.4)))
     return [
         _above("symbols", _share("n_symbols", "n_words"), 0.1, 0.02),
         _above("repetition", _share("n_repeat_words", "n_words"), 0.3, 0.15),
         _above("shouting", _share("n_upper", "word_chars"), 0.4, 0.2),
         Rule("words", length, (length < 2) | (length > 15), length.between(3, 10)),
         _above("repetition", _share("n_dup_lines", "n_lines"), 0.3, 0.1),
-        # The longer a text, the fewer of its words are new.
-        Rule("repetition", variety, (variety < 0.1 + 20 / (F.col("n_words") + 20)) & (F.col("n_words") < 5000),
-             variety > 0.2 + 20 / (F.col("n_words") + 20)),
+        # The longer a text, the fewer of its words are new: beyond 5,000 words both bounds fall with a power of it.
+        Rule("repetition", variety, variety < (0.1 + 20 / (F.col("n_words") + 20)) * longer,
+             variety > (0.2 + 20 / (F.col("n_words") + 20)) * longer),
         _above("shouting", _share("n_shouts", "n_words"), 0.2, 0.05),
     ]
 
