@@ -117,42 +117,50 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
     """Centroids from the rows that have a language.
 
     Document frequencies count all these rows. The vectors of about ``sample_rows`` rows of each
-    language, those with the smallest hash of their text, come to the driver for the clustering."""
+    language, those with the smallest hash of their text and each text once, come to the driver for the clustering."""
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter(
         "text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    # Copies of a text are one text of the sample.
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang", "key").agg(F.lit(1)).groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return Centroids([], np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(0))
-    # The share of a language's rows to be taken, as a bound on a hash that is even over its range.
+    # The share of a language's texts to be taken, as a bound on a hash that is even over its range.
     bound = F.lit(0.0)
     for name in languages:
         bound = F.when(F.col("lang") == name, F.lit(min(1.0, sample_rows / sizes[name]))).otherwise(bound)
-    picked = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)) < bound
+    picked = (F.pmod("key", F.lit(1 << 30)) / float(1 << 30)) < bound
 
     def run(batches):
         seen = np.zeros(DIMENSIONS, np.int64)
-        total, kind = 0, pa.list_(pa.int32())
+        total, kind, given = 0, pa.list_(pa.int32()), set()
         for batch in slices(batches, "text"):
             texts, picks = batch.column("text").to_pylist(), batch.column("picked").to_pylist()
+            names = list(zip(batch.column("lang").to_pylist(), batch.column("key").to_pylist()))
             for start in range(0, len(texts), ROWS):
                 counts, has = gram_counts(texts[start: start + ROWS])
                 seen += (counts > 0).sum(axis=0)
                 total += len(counts)
-                taken = [i for i in range(len(counts)) if picks[start + i] and has[i]]
+                taken = []
+                for i in range(len(counts)):
+                    if picks[start + i] and has[i] and names[start + i] not in given:
+                        given.add(names[start + i])
+                        taken.append(i)
                 used = [np.flatnonzero(counts[i]) for i in taken]
                 if taken:
                     yield pa.RecordBatch.from_arrays([
-                        batch.column("lang").take(pa.array([start + i for i in taken])), pa.array([u.tolist() for u in used], kind),
-                        pa.array([counts[i][u].tolist() for i, u in zip(taken, used)], kind)], ["lang", "places", "counts"])
+                        batch.column("lang").take(pa.array([start + i for i in taken])),
+                        batch.column("key").take(pa.array([start + i for i in taken])), pa.array([u.tolist() for u in used], kind),
+                        pa.array([counts[i][u].tolist() for i, u in zip(taken, used)], kind)], ["lang", "key", "places", "counts"])
         used = np.flatnonzero(seen)
         if total:
             yield pa.RecordBatch.from_arrays([
-                pa.array([None], pa.string()), pa.array([[-1, *used.tolist()]], kind), pa.array([[total, *seen[used].tolist()]], kind),
-            ], ["lang", "places", "counts"])
+                pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([[-1, *used.tolist()]], kind), pa.array([[total, *seen[used].tolist()]], kind),
+            ], ["lang", "key", "places", "counts"])
 
-    found = durable(rows.select("text", "lang", picked.alias("picked")).mapInArrow(
-        run, "lang string, places array<int>, counts array<int>"))
+    found = durable(rows.select("text", "lang", "key", picked.alias("picked")).mapInArrow(
+        run, "lang string, key long, places array<int>, counts array<int>"))
     # One row per n-gram place, of which there are DIMENSIONS, and one for the number of texts.
     frequency = found.filter("lang is null").select(F.explode(F.arrays_zip("places", "counts")).alias("z")).groupBy(
         F.col("z.places").alias("place")).agg(F.sum("z.counts").alias("n")).collect()
@@ -163,7 +171,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
             idf[place] = np.log((1 + n[-1]) / (1 + count)) + 1
     samples = {}
     for name in languages:
-        got = found.filter(F.col("lang") == name).collect()
+        got = found.filter(F.col("lang") == name).dropDuplicates(["key"]).collect()
         if got:
             counts = np.zeros((len(got), DIMENSIONS), np.int32)
             for i, r in enumerate(got):
