@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airspan.llm import classlm, toxicity
+from airspan.llm.alignment import cross_tokenizer
 from airspan.llm.decontam import contaminated
 from airspan.llm.langid import fit, predict
 from airspan.llm.linededup import drop_boilerplate
@@ -177,3 +178,11 @@ def op9_toxicity(spark, sf_dir):
 @query("op10_passages")
 def op10_passages(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op13_cross_tokenizer")
+def op13_cross_tokenizer(spark, sf_dir):
+    import public_tokenizers
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return cross_tokenizer(table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long")), **vocabulary(),
+                           model=public_tokenizers.path("piece_bpe_32k.model"), more=(digest,))
