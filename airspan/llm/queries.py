@@ -12,6 +12,7 @@ from airspan.llm.decontam import contaminated
 from airspan.llm.langid import fit, predict
 from airspan.llm.linededup import drop_boilerplate
 from airspan.llm.neardup import near_duplicates
+from airspan.llm.negatives import hard_negatives
 from airspan.llm.packing import pack
 from airspan.llm.passages import repeated_passages
 from airspan.llm.quality import quality
@@ -180,6 +181,25 @@ def op10_passages(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query("op11_hard_negatives", """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+    list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS s
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT a AS anchor_id, p AS positive_id,
+    (row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b))::INT AS rank, b AS negative_id,
+    ps AS positive_score, s AS negative_score
+FROM p JOIN s USING (a) WHERE NOT same AND 50 * ps <= 100 * s AND 100 * s <= 95 * ps
+QUALIFY rank <= 3""")
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 @query("op13_cross_tokenizer")
 def op13_cross_tokenizer(spark, sf_dir):
     import public_tokenizers
