@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from airspan.llm.graph import components
+from airspan.session import durable
+
 
 def in_blocks(rows: DataFrame, key: str, blocks: Column, spread: Column) -> DataFrame:
     """Adds ``group``: rows of one key with one block keep a single row; with more, each row stands once for
@@ -84,3 +87,53 @@ class Parts:
         part, ids = self.part[order], self.ids[order]
         head = np.maximum.accumulate(np.where(np.append(True, part[1:] != part[:-1]), np.arange(len(part)), 0))
         return [(int(a), int(b)) for a, b in zip(ids, ids[head]) if a != b]
+
+
+def linked_within(rows: DataFrame, key: str, weight: Column, most: int,
+                  each: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], list[tuple]]) -> DataFrame:
+    """(a, b): links that join all rows of each key that ``each`` finds alike, few as they are.
+
+    ``rows`` has an ``id`` (long) and what ``each`` needs. Keys of up to ``most`` weight are
+    one group each. Larger ones are looked at in two rounds, so that the rows sent grow with the key and not with
+    its square: first blocks of the key, each with the key's first row; then only rows that the first round has
+    not joined to that row go to all other blocks and meet the rows they are not joined with. Any two rows
+    of a key thus meet in a task or are joined already, and no pairs are given out.
+
+    ``each(rows, part, asked)`` gets the rows of a group sorted by id, numbers of the parts already joined, and which
+    rows are asked about: of two rows, one at least must be, and both must be of different parts."""
+    total = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w"), F.min("id").alias("_first")).filter("_n > 1")
+    sized = durable(total.withColumn("_blocks", F.ceil(F.col("_w") / most).cast("long")))
+    names = [c for c in rows.columns if c not in (key, "id")]
+
+    def found(split: DataFrame) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> list[tuple]:
+            part, asked = batch.column("part").to_numpy(zero_copy_only=False), batch.column("asked").to_numpy(zero_copy_only=False)
+            return each(batch, part, asked)
+        return map_groups(split.select("group", "id", "part", "asked", *names), run, "a long, b long", ("id",)).distinct()
+
+    few = rows.join(sized.filter("_blocks = 1").select(key), key)
+    links = found(few.select("*", F.xxhash64(key).alias("group"), F.col("id").alias("part"), F.lit(True).alias("asked")))
+    sized = sized.filter("_blocks > 1")
+    if sized.isEmpty():
+        return links
+    many = durable(rows.join(sized.select(key, "_blocks", "_first"), key).withColumn("_b", F.pmod(F.xxhash64("id"), "_blocks")))
+    # The first row of a key is in all of its blocks.
+    everywhere = F.when(F.col("id") == F.col("_first"), F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).otherwise(F.array("_b"))
+    first = durable(found(many.withColumn("_b", F.explode(everywhere)).select(
+        "*", F.xxhash64(key, "_b").alias("group"), F.col("id").alias("part"), F.lit(True).alias("asked"))))
+    links = links.unionByName(first)
+    of = durable(components(first).select(F.col("node").alias("id"), F.col("component").alias("_of")))
+    parted = many.join(of, "id", "left").withColumn("part", F.coalesce("_of", "id")).drop("_of")
+    heads = sized.select(key, F.col("_first").alias("id")).join(of, "id", "left").select(
+        key, F.coalesce("_of", "id").alias("_main"))
+    parted = durable(parted.join(heads, key).withColumn("asked", F.col("part") != F.col("_main")))
+    # Rows joined to the first one are done, unless a row that is not could be like them.
+    loose = parted.filter("asked").groupBy(key).agg(F.ceil(F.sum(weight) / most).cast("long").alias("_chunks"))
+    parted = parted.join(loose, key)
+    chunk = F.pmod(F.xxhash64("id", F.lit(7)), "_chunks")
+    # An asked row goes to all blocks; every row goes, in its own block, to all chunks of asked rows.
+    asked = parted.filter("asked").select(
+        "*", chunk.alias("_c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_at"))
+    others = parted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_c"), F.col("_b").alias("_at"))
+    others = others.filter(~F.col("asked") | (F.col("_c") != chunk)).withColumn("asked", F.lit(False))
+    return links.unionByName(found(asked.unionByName(others).withColumn("group", F.xxhash64(key, "_at", "_c"))))

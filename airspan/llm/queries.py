@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from airspan.llm import classlm, toxicity
 from airspan.llm.alignment import cross_tokenizer
 from airspan.llm.decontam import contaminated
+from airspan.llm.jaccard import similar_sets
 from airspan.llm.langid import fit, predict
 from airspan.llm.linededup import drop_boilerplate
 from airspan.llm.neardup import near_duplicates
@@ -114,20 +115,24 @@ def op3_language(spark, sf_dir):
     return predict(docs, model, "text", F.col("doc_id"), aside.alias("held_out"))
 
 
-@query("op4_near_duplicates", """
+def _similar_sql(width: int, percent: int, columns: str) -> str:
+    return f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width} - 1], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
     GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
 r(d, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.d),
 m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, w.doc_id = m.c AS kept
-FROM w LEFT JOIN n USING (doc_id) JOIN m ON m.d = w.doc_id""")
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, {columns}
+FROM w LEFT JOIN n USING (doc_id) JOIN m ON m.d = w.doc_id"""
+
+
+@query("op4_near_duplicates", _similar_sql(4, 80, "m.c AS component_id, w.doc_id = m.c AS kept"))
 def op4_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -200,6 +205,11 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
 
 
+@query("op12_jaccard_join", _similar_sql(3, 90, "m.c AS component_id"))
+def op12_jaccard_join(spark, sf_dir):
+    return similar_sets(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 @query("op13_cross_tokenizer")
 def op13_cross_tokenizer(spark, sf_dir):
     import public_tokenizers
