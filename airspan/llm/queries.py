@@ -141,13 +141,21 @@ def op4_near_duplicates(spark, sf_dir):
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, source FROM documents),
 l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line,
              generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
-k AS (SELECT r, pos, source, line, trim(regexp_replace(line, '[\\x09-\\x0D]', ' ', 'g'), ' ') AS key FROM l),
-s AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce(source, '')) >= 10),
-h AS (SELECT r, sum(length(key)) AS n, count(*) AS c FROM k JOIN s USING (key) GROUP BY r),
+k AS (SELECT r, pos, line, trim(regexp_replace(line, '[\\x09-\\x0D]', ' ', 'g'), ' ') AS key,
+             ('0x' || md5(coalesce(source, ''))[1:15])::BIGINT AS site FROM l),
+m AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(*) >= 10 AND count(DISTINCT site) > 1),
+t AS (SELECT text, key, min(site) AS site, ('0x' || md5(key)[1:15])::BIGINT AS h, key IN (SELECT key FROM m) AS common
+      FROM k JOIN d USING (r) WHERE key <> '' GROUP BY text, key),
+u AS (SELECT text, sum(length(key)) AS whole, sum(length(key)) FILTER (common) AS shared, min(site) AS site,
+             list_sort(list(h) FILTER (common))[1:2] AS least FROM t GROUP BY text),
+v AS (SELECT key, min(u.site) AS site FROM t JOIN u USING (text) WHERE common
+      GROUP BY key, CASE WHEN 2 * (shared - length(key)) > whole - length(key)
+                         THEN 'line ' || CASE WHEN h = least[1] THEN least[2] ELSE least[1] END ELSE 'text ' || text END),
+s AS (SELECT key FROM v GROUP BY key HAVING count(DISTINCT site) >= 10),
+h AS (SELECT r, count(*) AS c FROM k JOIN s USING (key) GROUP BY r),
 j AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE key NOT IN (SELECT key FROM s)) AS t
       FROM k GROUP BY r)
-SELECT doc_id, CASE WHEN n <= 0.5 * length(text) THEN coalesce(t, '') ELSE text END AS text,
-       CASE WHEN n <= 0.5 * length(text) THEN c ELSE 0 END AS n_removed
+SELECT doc_id, CASE WHEN c > 0 THEN coalesce(t, '') ELSE text END AS text, coalesce(c, 0) AS n_removed
 FROM d LEFT JOIN h USING (r) LEFT JOIN j USING (r)""")
 def op5_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")

@@ -29,7 +29,7 @@ def test_stages_and_run(spark, tmp_path):
     assert set(rows) == {i for i, k in judged.items() if k} and 0 < len(rows) < len(judged)
 
     lines, after = kept("line_dedup", good)
-    want = lines_by_hand([(i, r["text"], r["source"]) for i, r in rows.items()], 10, 0.5)
+    want = lines_by_hand([(i, r["text"], r["source"]) for i, r in rows.items()], 10)
     assert {i: r["text"] for i, r in after.items()} == {i: t for i, t, _ in want}
     assert all(r["n_chars"] == (len(r["text"]) if r["text"] != rows[i]["text"] else rows[i]["n_chars"]) for i, r in after.items())
 

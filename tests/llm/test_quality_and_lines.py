@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -70,22 +71,32 @@ def test_quality_agrees_with_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(poor) <= 0.25 * len(poor)
 
 
-def by_hand(rows, min_sites, max_share):
+def by_hand(rows, min_sites):
+    """Texts vote for one site a class: alone, or with others that have the same common lines beside the one voted on."""
     clean = lambda x: re.sub(r"[\x09-\x0D]", " ", x).strip(" ")
-    sites = {}
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()[:15]
+    seen, site_of, votes = {}, {}, {}
     for _, text, site in rows:
+        site_of[text] = min(site_of.get(text, "g"), digest(site or ""))
         for line in (text or "").split("\n"):
-            if clean(line):
-                sites.setdefault(clean(line), set()).add(site)
+            seen.setdefault(clean(line), []).append(site)
+    common = {x for x, on in seen.items() if x and len(on) >= min_sites and (len(set(on)) > 1 or min_sites <= 1)}
+    for text, site in site_of.items():
+        own = {clean(x) for x in (text or "").split("\n")} - {""}
+        for line in own & common:
+            rest = own - {line}
+            shared = sorted(rest & common, key=digest)
+            copied = 2 * sum(map(len, shared)) > sum(map(len, rest))
+            votes.setdefault(line, {}).setdefault((copied, shared[0] if copied else text), []).append(site)
+    sites = {line: len({min(v) for v in classes.values()}) for line, classes in votes.items()}
     out = []
     for i, text, _ in rows:
         if text is None:
             out.append((i, None, 0))
             continue
         lines = text.split("\n")
-        gone = [x for x in lines if clean(x) and len(sites[clean(x)]) >= min_sites]
-        cut = gone and sum(len(clean(x)) for x in gone) <= max_share * len(text)
-        out.append((i, "\n".join(x for x in lines if x not in gone) if cut else text, len(gone) if cut else 0))
+        kept = [x for x in lines if sites.get(clean(x), 0) < min_sites]
+        out.append((i, "\n".join(kept), len(lines) - len(kept)))
     return out
 
 
@@ -102,13 +113,25 @@ def test_lines_of_many_sites_go_and_copies_stay(spark, min_sites):
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines), site))
     rows += [(1000 + i, "a whole copied page\nwith two lines", s) for i, s in enumerate(sites)] + [(2000, None, "site1")]
+    # Near copies: each has a line of its own in place of one of the page's.
+    page = [f"line {k} of a page with many near copies" for k in range(12)]
+    for i in range(200):
+        words = list(page)
+        words[rng.randrange(12)] = f"an edited line {i}"
+        rows.append((3000 + i, "\n".join(words), sites[i % len(sites)]))
+    # Little of their own beside the boilerplate, and nothing.
+    rows += [(4000 + i, f"x{i}\nboiler 25", sites[i]) for i in range(20)] + [(5000, "boiler 25", "site3"), (5001, "boiler 25\n boiler 25", "site4")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = [tuple(r) for r in drop_boilerplate(df, min_sites, removed="gone").select("doc_id", "text", "gone").collect()]
-    assert sorted(got, key=str) == sorted(by_hand(rows, min_sites, 0.5), key=str)
+    assert sorted(got, key=str) == sorted(by_hand(rows, min_sites), key=str)
+    if min_sites == 10:
+        left = {i: (text, gone) for i, text, gone in got}
+        assert all(left[1000 + i][1] == 0 for i in range(len(sites))) and all(left[3000 + i][1] == 0 for i in range(200))
+        assert all(left[4000 + i] == (f"x{i}", 1) for i in range(20)) and left[5000] == ("", 1) and left[5001] == ("", 2)
 
 
 def test_only_lines_near_the_threshold_are_counted_exactly(spark):
-    rows = [(f"line{k}", f"s{i}") for k in (99, 100, 101, 300) for i in range(k)] * 2
+    rows = [(f"line{k}\nown {k} {i}", f"s{i}") for k in (99, 100, 101, 300) for i in range(k)] * 2
     df = spark.createDataFrame(rows, "text string, source string")
     found = sorted((r["sites"], r["exact"]) for r in line_sites(df, 100).collect())
     assert [x for x, exact in found if exact] == [100, 101]
