@@ -36,11 +36,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; once, where it is repeated."""
+    """The document with the smallest id of each group of near duplicates; once, where the same id and text are
+    repeated. Rows without an id are linked with nothing and all stay."""
     dropped = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated.select("doc_id"), "doc_id").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(repeated.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
