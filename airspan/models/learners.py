@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from math import inf, log
+from math import log
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
 from pyspark.sql import DataFrame, functions as F
 
+from airspan.models.forest import Growth
 from airspan.plans.features import contiguous_folds
 from airspan.session import checkpoint_root, durable
 
@@ -167,32 +167,6 @@ def _blending_forest(task: Task, output: str):
     return forest_estimator(task, output, 200, minInstancesPerNode=2)
 
 
-def fit_extra_trees(trees: int, cuts: int = 16, **params) -> Fit:
-    """Trees that choose among cut points drawn at random, anew for each tree and feature."""
-    def fit(task: Task, output: str) -> PipelineModel:
-        bounds = task.train.agg(
-            *[F.min(c).alias(f"low_{i}") for i, c in enumerate(task.inputs)],
-            *[F.max(c).alias(f"high_{i}") for i, c in enumerate(task.inputs)]).first()
-        draw, stages, columns = random.Random(task.seed), [], []
-        for t in range(task.trees(trees)):
-            binned = [f"{output}_b{t}_{i}" for i in range(len(task.inputs))]
-            splits = []
-            for i in range(len(task.inputs)):
-                low, high = float(bounds[f"low_{i}"]), float(bounds[f"high_{i}"])
-                inner = {draw.uniform(low, high) for _ in range(cuts)} if high > low else {low}
-                splits.append([-inf, *sorted(inner), inf])
-            bucketizer = Bucketizer(splitsArray=splits, inputCols=list(task.inputs), outputCols=binned)
-            assembler = VectorAssembler(inputCols=binned, outputCol=f"{output}_x{t}")
-            estimator = tree_estimator(task, f"{output}_t{t}", **params).setFeaturesCol(f"{output}_x{t}")
-            prepared = assembler.transform(bucketizer.transform(task.train))
-            keep = SQLTransformer(
-                statement=f"SELECT * EXCEPT ({', '.join([*binned, f'{output}_x{t}'])}) FROM __THIS__")
-            stages += [bucketizer, assembler, estimator.fit(prepared), keep]
-            columns.append(f"{output}_t{t}")
-        return PipelineModel(stages=[*stages, _combine(columns, _mean(columns), output)])
-    return fit
-
-
 def fit_adaboost(rounds: int, rate: float, depth: int) -> Fit:
     """AdaBoost.R2 (Drucker, 1997) with linear loss. Row weights live in a column, multiplied
     after each round and saved every few rounds, so neither the driver nor the lineage grows
@@ -239,19 +213,21 @@ def weighted_median_sql(columns: Sequence[str], votes: Sequence[float]) -> str:
         f" s -> s.p)")
 
 
-# The models and their settings.
-MULTI_OUTPUT: dict[str, Fit] = {
-    "1. Decision Tree": _fit(tree_estimator),
-    "2. Bagging (Trees)": _fit(forest_estimator, trees=50, bootstrap=True),
-    "3. Pasting (Trees)": _fit(forest_estimator, trees=50, bootstrap=False, subsamplingRate=1.0),
-    "5. RF Estandar": _fit(forest_estimator, trees=100),
-    "6. RF Profundo": _fit(forest_estimator, trees=200),
-    "7. RF Regularizado": _fit(forest_estimator, trees=100, depth=10),
-    "8. Extra-Trees": fit_extra_trees(100),
-    "9. ET Optimizado": fit_extra_trees(200, minInstancesPerNode=3),
-    "10. RF FeatureSel": _fit(forest_estimator, trees=100, subset="log2"),
+# The models and their settings. Those with several outputs are forests of trees that predict all
+# of them, and so is the next-hour forest, with trees of its own for each output.
+MULTI_OUTPUT: dict[str, Growth] = {
+    "1. Decision Tree": Growth(),
+    "2. Bagging (Trees)": Growth(trees=50, bootstrap=True),
+    "3. Pasting (Trees)": Growth(trees=50),
+    "5. RF Estandar": Growth(trees=100, bootstrap=True),
+    "6. RF Profundo": Growth(trees=200, bootstrap=True),
+    "7. RF Regularizado": Growth(trees=100, bootstrap=True, depth=10),
+    "8. Extra-Trees": Growth(trees=100, random_cuts=True),
+    "9. ET Optimizado": Growth(trees=200, random_cuts=True, leaf_rows=3),
+    "10. RF FeatureSel": Growth(trees=100, bootstrap=True, features=2),
 }
 KNN_MODEL = "4. Bagging (KNN)"
+NEXT_HOUR_FORESTS: dict[str, Growth] = {"rf": Growth(trees=300, bootstrap=True, leaf_rows=2)}
 
 NEXT_HOUR: dict[str, Fit] = {
     "rf": _fit(forest_estimator, trees=300, minInstancesPerNode=2),
@@ -283,8 +259,7 @@ GRIDS: dict[str, tuple[Callable, dict[str, list]]] = {
 
 
 def fit_model(name: str, task: Task, output: str = PREDICTION) -> PipelineModel:
-    """Any model but the nearest-neighbour one, which has its own module."""
-    fits = {**MULTI_OUTPUT, **NEXT_HOUR}
-    if name not in fits:
+    """A model for one target; those with several outputs are in modules of their own."""
+    if name not in NEXT_HOUR:
         raise ValueError(f"unknown model: {name}")
-    return fits[name](task, output)
+    return NEXT_HOUR[name](task, output)

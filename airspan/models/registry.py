@@ -7,10 +7,13 @@ import re
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession, functions as F
 
+from airspan.models.forest import ForestModel
 from airspan.models.knn import NearestModel
 from airspan.sinks.writers import stored_or_none
 
 ALL_TARGETS = "all"
+# Models with files of their own.
+KINDS = {"nearest": NearestModel, "forest": ForestModel}
 
 
 def _folder(text: str) -> str:
@@ -18,20 +21,20 @@ def _folder(text: str) -> str:
 
 
 def save_model(
-    spark: SparkSession, root: str, algorithm: str, target: str, model: PipelineModel | NearestModel
+    spark: SparkSession, root: str, algorithm: str, target: str, model: PipelineModel | NearestModel | ForestModel
 ) -> str:
     """Saves the model and notes it in the index, where the last note of a name counts."""
     path = f"{root}/algorithm={_folder(algorithm)}/target={_folder(target)}"
-    nearest = isinstance(model, NearestModel)
-    model.save(path) if nearest else model.write().overwrite().save(path)
+    kind = next((k for k, of in KINDS.items() if isinstance(model, of)), "pipeline")
+    model.write().overwrite().save(path) if kind == "pipeline" else model.save(path)
     spark.createDataFrame(
-        [(algorithm, target, path, "nearest" if nearest else "pipeline")],
+        [(algorithm, target, path, kind)],
         "algorithm string, target string, path string, kind string",
     ).withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/index")
     return path
 
 
-def load_models(spark: SparkSession, root: str) -> dict[str, dict[str, PipelineModel | NearestModel]]:
+def load_models(spark: SparkSession, root: str) -> dict[str, dict[str, PipelineModel | NearestModel | ForestModel]]:
     """algorithm -> target -> model. One that cannot be read is left out."""
     index = stored_or_none(spark, f"{root}/index")
     if index is None:
@@ -41,7 +44,7 @@ def load_models(spark: SparkSession, root: str) -> dict[str, dict[str, PipelineM
     models: dict = {}
     for row in latest.orderBy("algorithm", "target").collect():  # one small row per saved model
         try:
-            loaded = (NearestModel.load(spark, row["path"]) if row["kind"] == "nearest"
+            loaded = (KINDS[row["kind"]].load(spark, row["path"]) if row["kind"] in KINDS
                       else PipelineModel.load(row["path"]))
         except Exception:
             continue

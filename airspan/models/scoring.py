@@ -10,9 +10,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from airspan.functions.texts import target_label
+from airspan.models.forest import ForestModel
 from airspan.models.knn import NearestModel
 from airspan.models.learners import (
-    FEATURES, KNN_MODEL, PREDICTION, Task, fit_model, quick, side_by_side,
+    FEATURES, KNN_MODEL, MULTI_OUTPUT, NEXT_HOUR_FORESTS, PREDICTION, Task, fit_model, quick,
 )
 from airspan.operators.metrics import multi_output_metrics, regression_metrics
 from airspan.operators.order import first_complete_rows
@@ -43,21 +44,43 @@ def next_hour_split(
 
 
 def train_next_hour(
-    split: DataFrame, targets: Sequence[str], models: Iterable[str], small: bool = False
-) -> tuple[dict[str, dict[str, PipelineModel]], DataFrame]:
-    """algorithm -> target -> model, and their metrics on the held-out rows."""
+    split: DataFrame, targets: Sequence[str], models: Iterable[str], small: bool = False,
+    names: Sequence[str] = (), station: str = "Estacion",
+) -> tuple[dict[str, dict[str, PipelineModel | ForestModel]], DataFrame]:
+    """algorithm -> target -> model, and their metrics on the held-out rows. ``names`` are the stations, which
+    forests take by name."""
     train, test = split.filter("not is_test"), split.filter("is_test")
     fitted: dict = {}
     scored = []
-    for target in targets:
-        task = Task(train, target)
-        for name in models:
+    for name in models:
+        if name in NEXT_HOUR_FORESTS:
+            model = fit_next_hour_forest(name, train, targets, names, station)
+            fitted[name] = {t: model for t in targets}
+            scored.append(long_scored(model, name, test, targets))
+            continue
+        for target in targets:
+            task = Task(train, target)
             model = fit_model(name, quick(task) if small else task)
             fitted.setdefault(name, {})[target] = model
             scored.append(_scored(model.transform(test), target, name, F.col(PREDICTION)))
     return fitted, regression_metrics(reduce(DataFrame.unionByName, scored))
 
 
+def fit_next_hour_forest(name: str, train: DataFrame, targets: Sequence[str], names: Sequence[str], station: str = "Estacion") -> ForestModel:
+    """A forest for each target, all grown at once."""
+    ordered = [c for c in feature_columns(train) if c not in (FEATURES, "is_test")]
+    return ForestModel.fit(train, ordered, targets, ["row_no"], NEXT_HOUR_FORESTS[name], {station: names}, together=False)
+
+
+def long_scored(model: ForestModel, name: str, rows: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """(target, model, y, pred) of a model that answers for several targets."""
+    answered = model.transform(rows.select(*model.bins.columns(), *[F.col(name_col(t)).cast("double").alias(f"_y{i}") for i, t in enumerate(targets)]))
+    at = {t: i for i, t in enumerate(model.outputs)}
+    return answered.select(F.inline(F.array(*[
+        F.struct(F.lit(t).alias("target"), F.lit(name).alias("model"), F.col(f"_y{i}").alias("y"), F.col("predictions")[at[t]].alias("pred"))
+        for i, t in enumerate(targets)])))
+
+
 def _scored(rows: DataFrame, target: str, model: str, pred) -> DataFrame:
     return rows.select(
         F.lit(target).alias("target"), F.lit(model).alias("model"),
@@ -65,33 +88,28 @@ def _scored(rows: DataFrame, target: str, model: str, pred) -> DataFrame:
 
 
 def multi_split(frame: DataFrame, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Assembled rows with ``is_test``. The targets get names without dots, as Spark ML asks."""
-    split = random_split(frame, RAW_KEY, test_share, seed).withColumnsRenamed(ML_NAMES)
-    return durable(VectorAssembler(inputCols=MULTI_FEATURES, outputCol=FEATURES).transform(split))
+    """Rows with ``is_test``. The targets get names without dots."""
+    return durable(random_split(frame, RAW_KEY, test_share, seed).withColumnsRenamed(ML_NAMES))
 
 
 ML_NAMES = {t: t.replace("PM 2.5", "PM2_5").replace("PM 10", "PM10") for t in MULTI_TARGETS}
 ML_TARGETS = list(ML_NAMES.values())
 
 
-def fit_multi(name: str, train: DataFrame, targets: Sequence[str] = tuple(ML_TARGETS), small: bool = False):
-    """target -> model; the nearest-neighbour model answers for all targets at once."""
+def fit_multi(name: str, train: DataFrame, targets: Sequence[str] = tuple(ML_TARGETS)) -> NearestModel | ForestModel:
+    """A model that answers for all targets at once."""
     if name == KNN_MODEL:
-        return NearestModel.fit(train, MULTI_FEATURES, targets, RAW_KEY, bags=3 if small else 10)
-    tasks = {t: Task(train, t, tuple(MULTI_FEATURES)) for t in targets}
-    fitted = side_by_side(lambda task: fit_model(name, quick(task) if small else task), list(tasks.values()))
-    return dict(zip(tasks, fitted))
+        return NearestModel.fit(train, MULTI_FEATURES, targets, RAW_KEY)
+    if name not in MULTI_OUTPUT:
+        raise ValueError(f"unknown model: {name}")
+    return ForestModel.fit(train, MULTI_FEATURES, targets, RAW_KEY, MULTI_OUTPUT[name])
 
 
 def predict_multi(model, rows: DataFrame, targets: Sequence[str] = tuple(ML_TARGETS)) -> DataFrame:
     """Adds ``pred_<target>`` for every target."""
-    if isinstance(model, NearestModel):
-        answered = model.transform(rows, "_all")
-        return answered.select("*", *[
-            F.col("_all")[i].alias(f"pred_{t}") for i, t in enumerate(targets)]).drop("_all")
-    for t in targets:
-        rows = model[t].transform(rows).withColumnRenamed(PREDICTION, f"pred_{t}")
-    return rows
+    answered = model.transform(rows.drop(FEATURES) if isinstance(model, ForestModel) else rows, "_all")
+    return answered.select("*", *[
+        F.col("_all")[i].alias(f"pred_{t}") for i, t in enumerate(targets)]).drop("_all")
 
 
 def multi_scored(model, name: str, rows: DataFrame, targets: Sequence[str] = tuple(ML_TARGETS)) -> DataFrame:
@@ -102,10 +120,10 @@ def multi_scored(model, name: str, rows: DataFrame, targets: Sequence[str] = tup
     return predicted.select(F.inline(F.array(*entries)))
 
 
-def train_multi(split: DataFrame, models: Iterable[str], small: bool = False) -> tuple[dict, DataFrame]:
+def train_multi(split: DataFrame, models: Iterable[str]) -> tuple[dict, DataFrame]:
     """Models by name, and (model, r2, rmse) over all targets on the held-out rows."""
     train, test = split.filter("not is_test"), split.filter("is_test")
-    fitted = {name: fit_multi(name, train, small=small) for name in models}
+    fitted = {name: fit_multi(name, train) for name in models}
     scored = [multi_scored(model, name, test) for name, model in fitted.items()]
     return fitted, multi_output_metrics(regression_metrics(reduce(DataFrame.unionByName, scored)))
 
@@ -139,8 +157,7 @@ def score_scenarios(
 
 def score_multi(model, scenarios: DataFrame, targets: Sequence[str] = tuple(ML_TARGETS)) -> DataFrame:
     """Hour, month, weekday and station code with a prediction per target."""
-    rows = VectorAssembler(inputCols=MULTI_FEATURES, outputCol=FEATURES).transform(scenarios)
-    return predict_multi(model, rows, targets).drop(FEATURES)
+    return predict_multi(model, scenarios, targets)
 
 
 def real_against_predicted(predicted: DataFrame, target: str, pred: str = PREDICTION) -> DataFrame:

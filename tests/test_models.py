@@ -7,8 +7,9 @@ import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
+from airspan.models.forest import ForestModel
 from airspan.models.knn import NearestModel, _times_drawn
-from airspan.models.learners import Task, fit_model, quick, weighted_median_sql
+from airspan.models.learners import MULTI_OUTPUT, Task, fit_model, quick, weighted_median_sql
 from airspan.models.registry import load_models, save_model
 from airspan.models.scoring import (
     assemble, next_hour_split, score_scenarios, train_next_hour,
@@ -17,7 +18,7 @@ from airspan.models.tuning import fit_tuned, settings_of
 from airspan.operators.metrics import best_models, one_row_per_model, regression_metrics
 from airspan.plans.features import (
     contiguous_folds, expanding_folds, feature_columns, next_hour_frame, random_split, sequential_split,
-    station_names,
+    station_names, target_columns,
 )
 
 TARGET = "CO_next_hour"
@@ -103,10 +104,20 @@ def test_voting_is_the_mean_of_its_parts(spark, split):
 
 
 def test_pasting_equals_the_single_tree(spark, split):
-    train = split[1].filter("not is_test")
-    task = quick(Task(train, TARGET))
-    both = fit_model("3. Pasting (Trees)", task, "a").transform(fit_model("1. Decision Tree", task, "b").transform(train))
-    assert both.filter("abs(a - b) > 1e-6").isEmpty()
+    train = split[1].filter("not is_test").drop("features")
+    fit = lambda name: ForestModel.fit(train, ["hour", "CO_lag1"], [TARGET], ["row_no"], MULTI_OUTPUT[name])
+    both = fit("3. Pasting (Trees)").transform(fit("1. Decision Tree").transform(train, "a"), "b")
+    assert both.filter("abs(a[0] - b[0]) > 1e-9").isEmpty() and both.count() == train.count()
+
+
+def test_next_hour_forest_answers_for_all_targets(spark, split):
+    rows = split[1]
+    targets = target_columns(rows)
+    fitted, metrics = train_next_hour(rows, targets, ["rf"], names=["A", "B", "C", "D"])
+    assert sorted(r["target"] for r in metrics.collect()) == sorted(targets) and len(targets) == 2
+    assert {r["target"]: r["r2"] for r in metrics.collect()}["CO_next_hour"] > 0.8
+    with pytest.raises(ValueError):
+        fit_model("nothing", Task(rows, TARGET))
 
 
 def test_every_combination_fits_saves_and_loads(spark, split, tmp_path):
