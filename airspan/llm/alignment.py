@@ -26,6 +26,8 @@ from airspan.session import checkpoint_root, durable
 
 # Pairs whose counts every task holds: 24 bytes each.
 FREQUENT = 1 << 19
+# Bytes of text that are tokenized at a time: ids in lists take thirty times as many.
+SLICE = 1 << 18
 # Links that a task adds up before it gives their counts on.
 HELD = 4_000_000
 
@@ -56,41 +58,63 @@ def piece_model(model: str):
                     for i, name in enumerate(names)]
 
 
-def ends_of(tokens: list[bytes]) -> list[int]:
-    return np.cumsum([len(t) for t in tokens], dtype=np.int64).tolist()
+def cuts_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of either list lie before each common end: where both lists are cut."""
+    index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
+    index_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
+    # A dictionary keeps its keys in the order of the ends, so what both have is sorted.
+    common = list(filter(index_b.__contains__, index_a))
+    return (np.fromiter(map(index_a.__getitem__, common), np.int64, len(common)),
+            np.fromiter(map(index_b.__getitem__, common), np.int64, len(common)))
 
 
-def groups_of(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """(i, i', j, j'): the slices [i, i') and [j, j') of two token lists between common ends."""
-    index_a = {end: i for i, end in enumerate(ends_a, 1)}
-    index_b = {end: j for j, end in enumerate(ends_b, 1)}
-    i = j = 0
-    for end in sorted(index_a.keys() & index_b.keys()):
-        yield i, (i := index_a[end]), j, (j := index_b[end])
+def links_of(ends_a: np.ndarray, ends_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all pairs of tokens whose byte ranges overlap, slice by slice. In a slice no end is common but
+    the last, so passing the tokens of both sides in the order of their ends, one at a time, gives each pair once:
+    one less than the slice has tokens."""
+    inner_a, inner_b = np.ones(len(ends_a), bool), np.ones(len(ends_b), bool)
+    inner_a[cuts_a - 1] = inner_b[cuts_b - 1] = False
+    # After a token that ends inside a slice the next one of its side is paired with what the other side has there.
+    i, j = np.flatnonzero(inner_a) + 1, np.flatnonzero(inner_b) + 1
+    first_a, first_b = np.append(0, cuts_a)[:-1], np.append(0, cuts_b)[:-1]
+    return (np.concatenate([first_a, i, np.searchsorted(ends_a, ends_b[j - 1], "right")]),
+            np.concatenate([first_b, np.searchsorted(ends_b, ends_a[i - 1], "right"), j]))
 
 
-def links_of(ends_a: list[int], ends_b: list[int], i: int, i_: int, j: int, j_: int) -> Iterator[tuple[int, int]]:
-    """The places of the tokens in two slices whose byte ranges overlap; the slices begin and end together, and no
-    other end is common, so each step passes one token and the last step both."""
-    while i < i_ and j < j_:
-        yield i, j
-        if ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
+def group_text(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, names: "Names") -> str:
+    """The groups as ``a1,a2|b1;a3|b2,b3``: the ids of both sides by turns, each with the sign that follows it."""
+    sizes_a, sizes_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+    parts = np.empty(len(a) + len(b), object)
+    last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    last_a[cuts_a - 1] = last_b[cuts_b - 1] = True
+    at_a = np.arange(len(a)) + np.repeat(cuts_b - sizes_b, sizes_a)
+    at_b = np.arange(len(b)) + np.repeat(cuts_a, sizes_b)
+    parts[at_a] = names.inner[a]
+    parts[at_b] = names.inner[b]
+    parts[at_a[last_a]] = names.last_a[a[last_a]]
+    parts[at_b[last_b]] = names.last_b[b[last_b]]
+    return "".join(parts.tolist())[:-1]
 
 
-def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[str, int, list[int]]:
-    """(groups as text, their number, links as a id * 2^32 + b id)."""
-    text, links = [], []
-    for i, i_, j, j_ in groups_of(ends_a, ends_b):
-        if i_ - i == 1 and j_ - j == 1:
-            text.append(f"{a[i]}|{b[j]}")
-            links.append(a[i] << 32 | b[j])
-        else:
-            text.append(f"{','.join(map(str, a[i:i_]))}|{','.join(map(str, b[j:j_]))}")
-            links += [a[x] << 32 | b[y] for x, y in links_of(ends_a, ends_b, i, i_, j, j_)]
-    return ";".join(text), len(text), links
+class Names:
+    """Ids below a bound as text, with each sign that can follow."""
+
+    def __init__(self, n: int):
+        self.inner, self.last_a, self.last_b = (np.array([f"{i}{sign}" for i in range(n)], object) for sign in ",|;")
+
+
+@functools.lru_cache(maxsize=1)
+def names_of(n: int) -> Names:
+    return Names(n)
+
+
+def align(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray, names: Names) -> tuple[str, int, np.ndarray]:
+    """(groups as text, their number, links as a id * 2^32 + b id) of ids whose tokens have ``size`` bytes each."""
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+    cuts_a, cuts_b = cuts_of(ends_a, ends_b)
+    i, j = links_of(ends_a, ends_b, cuts_a, cuts_b)
+    return group_text(a, b, cuts_a, cuts_b, names), len(cuts_a), a[i] << 32 | b[j]
 
 
 def alignments(docs: DataFrame, vocabulary: str, model: str, ranks: str | None = None, text: str = "text",
@@ -104,22 +128,24 @@ def alignments(docs: DataFrame, vocabulary: str, model: str, ranks: str | None =
     def run(batches):
         reader, bytes_b = piece_model(model)
         bytes_a = byte_level_tokens(vocabulary)
-        for batch in slices(batches, "text"):
+        size_a, size_b = (np.array([len(t) for t in tokens]) for tokens in (bytes_a, bytes_b))
+        names = names_of(max(len(bytes_a), len(bytes_b)))
+        for batch in slices(batches, "text", SLICE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found_a = encode([" " + t if t else "" for t in texts], vocabulary, ranks)
             found_b = reader.encode(texts, num_threads=1)
             counts, groups, links, times = [], [], [], []
             for t, a, b in zip(texts, found_a, found_b):
-                tokens_a, tokens_b, whole = [bytes_a[i] for i in a], [bytes_b[i] for i in b], f" {t}".encode()
-                if not t or b"".join(tokens_a) != whole or b"".join(tokens_b) != whole:
+                whole = f" {t}".encode()
+                if not t or b"".join([bytes_a[i] for i in a]) != whole or b"".join([bytes_b[i] for i in b]) != whole:
                     counts.append((0, 0, 0))
                     groups.append("")
-                    found = []
+                    found = np.zeros(0, np.int64)
                 else:
-                    named, n, found = align(a, b, ends_of(tokens_a), ends_of(tokens_b))
+                    named, n, found = align(a, b, size_a, size_b, names)
                     counts.append((len(a), len(b), n))
                     groups.append(named)
-                kinds, often = np.unique(np.array(found, np.int64), return_counts=True)
+                kinds, often = np.unique(found, return_counts=True)
                 links.append(kinds)
                 times.append(often)
             ends, flat = np.cumsum([len(x) for x in links]), np.concatenate(links)
