@@ -54,6 +54,10 @@ def _runs_sql(pattern: str) -> str:
       'hit': regexp_extract_all(text, '{p}')[i]}})"""
 
 
+# What the first pattern of the allow list stands for, without looking ahead.
+WORDS = r"^[-+/_]*([A-Z]?[a-z]+|[A-Z]+)([-+/_]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[-+/_]*$"
+
+
 def _secrets_sql() -> str:
     """Base spans, then every window of every candidate measured on its own, not by sliding."""
     base = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)]
@@ -65,7 +69,7 @@ def _secrets_sql() -> str:
               WHERE k <> 0 OR length(regexp_extract(m.hit, '{long}', 2)) >= 12)"""]
     seen = "b"
     for i, c in enumerate(CLASSES):
-        allowed = " OR ".join(f"regexp_matches(m.hit, '{p}')" for p in ALLOWED)
+        allowed = " OR ".join(f"regexp_matches(m.hit, '{p}')" for p in (WORDS, *ALLOWED[1:]))
         text = "lower(m.hit)" if c.fold else "m.hit"
         ctes.append(f"""c{i} AS (SELECT r, m.s AS s, {text} AS t FROM (
               SELECT r, unnest({_runs_sql(f"{c.pattern}{{{c.width},}}")}) AS m FROM d) WHERE NOT ({allowed}))""")

@@ -2,8 +2,10 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
+from airspan.llm import secrets
 from airspan.llm.queries import LLM_QUERIES  # noqa: F401
 from airspan.llm.secrets import ALLOWED, CLASSES, KINDS, find_secrets, span_text
 from pyspark.sql import functions as F
@@ -78,3 +80,33 @@ def test_allow_list_and_words_are_passed_over(spark):
     df = spark.createDataFrame([(1, texts()[5]), (2, texts()[6]), (3, "x" * 30 + "1"), (4, "path/to/some/file/of/mine/0001")],
                                "doc_id long, text string")
     assert all(not r["added"] for r in find_secrets(df).collect())
+
+
+def test_long_runs_and_many_matches_take_seconds(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    block = "".join(rng.choices(letters, k=100_000))
+    run = "é " + block * 50 + " end"
+    hexs = " ".join(f"{i:016x}" for i in range(300_000))
+    words = "some_long_name-of/things_" * 40_000
+    plain = "ab" * 1_000_000 + "1"
+    begun = time.time()
+    df = spark.createDataFrame([(1, run), (2, hexs), (3, words), (4, plain)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in find_secrets(df).select("doc_id", F.size("base").alias("base"), F.transform(
+        "added", lambda s: F.struct(s.start, s.end)).alias("added"), F.get("base", F.lit(299_999)).end.alias("last")).collect()}
+    assert time.time() - begun < 120
+    assert [tuple(s) for s in got[1]["added"]] == [(2, 2 + 5_000_000)] and got[1]["base"] == 0
+    assert got[2]["base"] == 300_000 and got[2]["last"] == len(hexs) and not got[2]["added"]
+    # The last is a run of hex letters, which the pattern finds.
+    assert got[3]["base"] == 0 and got[4]["base"] == 1 and not got[3]["added"] and not got[4]["added"]
+
+
+def test_windows_and_sums_go_on_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "CHUNK", 3)
+    monkeypatch.setattr(secrets, "BLOCK", 23)
+    given = list(enumerate(texts()))
+    found = {r["doc_id"]: r for r in find_secrets(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    for i, text in given:
+        assert [(s["start"], s["kind"], s["end"]) for s in found[i]["base"]] == base(text)
+        assert [(s["start"], s["kind"], s["end"]) for s in found[i]["added"]] == entropy_spans(text), text
+        assert all(s["hit"] == text[s["start"]:s["end"]] for s in [*found[i]["base"], *found[i]["added"]])
