@@ -1,8 +1,4 @@
-"""Work within groups of rows, where a group may be too large for one task.
-
-A group beyond a block's size is cut into blocks, and each two of its blocks make a group of their own, so
-that any two rows meet in some task and no task holds more than two blocks.
-"""
+"""Work within groups of rows, where a group may be too large for one task."""
 
 from __future__ import annotations
 
@@ -16,16 +12,6 @@ from airspan.llm.graph import components
 from airspan.session import durable
 
 
-def in_blocks(rows: DataFrame, key: str, blocks: Column, spread: Column) -> DataFrame:
-    """Adds ``group``: rows of one key with one block keep a single row; with more, each row stands once for
-    every other block. ``spread`` picks the block and must not depend on where a row is."""
-    df = rows.withColumn("_g", blocks.cast("long")).withColumn("_h", F.pmod(spread, F.col("_g")))
-    other = F.when(F.col("_g") == 1, F.array(F.lit(0).cast("long"))).otherwise(
-        F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1), F.col("_h")))
-    df = df.withColumn("_o", F.explode(other))
-    return df.withColumn("group", F.xxhash64(key, F.least("_h", "_o"), F.greatest("_h", "_o"))).drop("_g", "_h", "_o")
-
-
 def map_group_batches(rows: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
                       order: tuple[str, ...] = ()) -> DataFrame:
     """``each`` over batches of whole groups, sorted by ``group`` and ``order``; a group is never split.
@@ -137,3 +123,20 @@ def linked_within(rows: DataFrame, key: str, weight: Column, most: int,
     others = parted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_c"), F.col("_b").alias("_at"))
     others = others.filter(~F.col("asked") | (F.col("_c") != chunk)).withColumn("asked", F.lit(False))
     return links.unionByName(found(asked.unionByName(others).withColumn("group", F.xxhash64(key, "_at", "_c"))))
+
+
+def joining_links(rows: pa.RecordBatch, part: np.ndarray, asked: np.ndarray,
+                  alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple]:
+    """Links between the rows that ``alike(i, others)`` finds, looked for only among rows not joined yet."""
+    ids = rows.column("id").to_numpy(zero_copy_only=False)
+    parts = Parts(ids)
+    parts.part = np.unique(part, return_inverse=True)[1].astype(np.int64)
+    was = parts.part.copy()
+    for i in np.flatnonzero(asked):
+        others = np.flatnonzero((parts.part != parts.part[i]) & (~asked | (np.arange(len(ids)) > i)))
+        if len(others):
+            parts.join(i, others[alike(i, others)])
+    # Rows that were of one part need no link again.
+    links = parts.links()
+    before = dict(zip(ids.tolist(), was.tolist()))
+    return [(a, b) for a, b in links if before[a] != before[b]]

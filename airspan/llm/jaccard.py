@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from airspan.llm.graph import components
-from airspan.llm.groups import Parts, linked_within
+from airspan.llm.groups import joining_links, linked_within
 from airspan.llm.text import hashes_of, list_column, mixed, shingles, slices, word_codes
 from airspan.session import durable
 
@@ -127,22 +127,6 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("component", "doc_id", "text").mapInArrow(run, "component long, id long, grams array<long>")
 
 
-def _joined(rows: pa.RecordBatch, part: np.ndarray, asked: np.ndarray, alike) -> list[tuple]:
-    """Links between the rows that ``alike(i, others)`` finds, looked for only among rows not joined yet."""
-    ids = rows.column("id").to_numpy(zero_copy_only=False)
-    parts = Parts(ids)
-    parts.part = np.unique(part, return_inverse=True)[1].astype(np.int64)
-    was = parts.part.copy()
-    for i in np.flatnonzero(asked):
-        others = np.flatnonzero((parts.part != parts.part[i]) & (~asked | (np.arange(len(ids)) > i)))
-        if len(others):
-            parts.join(i, others[alike(i, others)])
-    # Rows that were of one part need no link again.
-    links = parts.links()
-    before = dict(zip(ids.tolist(), was.tolist()))
-    return [(a, b) for a, b in links if before[a] != before[b]]
-
-
 def _plausible(percent: int):
     def each(rows: pa.RecordBatch, part: np.ndarray, asked: np.ndarray) -> list[tuple]:
         n = rows.column("n_shingles").to_numpy(zero_copy_only=False)
@@ -153,7 +137,7 @@ def _plausible(percent: int):
             small, large = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
             return (100 * small >= percent * large) & (apart * (100 + percent) <= (small + large) * (100 - percent))
 
-        return _joined(rows, part, asked, alike)
+        return joining_links(rows, part, asked, alike)
 
     return each
 
@@ -196,7 +180,7 @@ def _overlapping(percent: int):
             out[open_] = shared[open_] >= need[open_]
             return out
 
-        return _joined(rows, part, asked, alike)
+        return joining_links(rows, part, asked, alike)
 
     return each
 

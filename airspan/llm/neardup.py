@@ -13,7 +13,7 @@ threshold is not compared further; the margin is five standard deviations.
 
 No bucket is expanded into rows of pairs. Tasks compare the sketches of a bucket, and then the full
 sets of a cluster, in memory, and give back only the links that join separate parts. A large bucket or
-cluster is cut into blocks, and each two blocks are one task's work.
+cluster is looked at in rounds, so that the rows sent grow with it and not with its square.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from airspan.llm.graph import components
-from airspan.llm.groups import Parts, in_blocks, map_groups
+from airspan.llm.groups import joining_links, linked_within
 from airspan.llm.text import hashes_of, list_column, mixed, shingles, slices, word_codes
 from airspan.session import durable
 
@@ -127,38 +127,33 @@ def most_ones(similarity: float) -> int:
     return int(min(BITS, ones + 5 * math.sqrt(BITS) / 2 * math.sqrt(1 - math.exp(-4 * flips / BITS))))
 
 
-def _plausible_links(rows: pa.RecordBatch, ones: int) -> list[tuple]:
+def _plausible_links(rows: pa.RecordBatch, part: np.ndarray, asked: np.ndarray, ones: int) -> list[tuple]:
     """Links (a, b) that join all rows of one bucket whose sketches are near enough, few as they are."""
-    ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
-    sketch = rows.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
-    parts = Parts(ids)
-    for i in range(len(ids) - 1):
-        apart = np.bitwise_count(sketch[i + 1:] ^ sketch[i]).sum(axis=1, dtype=np.int32)
-        parts.join(i, np.flatnonzero(apart <= ones) + i + 1)
-    return parts.links()
+    sketch = rows.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(rows.num_rows, -1)
+    return joining_links(rows, part, asked, lambda i, others: np.bitwise_count(
+        sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int32) <= ones)
 
 
-def _exact_links(rows: pa.RecordBatch, percent: int) -> list[tuple]:
+def _exact_links(rows: pa.RecordBatch, part: np.ndarray, asked: np.ndarray, percent: int) -> list[tuple]:
     """Links (a, b) that join all rows of one group whose full sets are similar enough.
 
-    An index from shingles to rows counts what each row shares with all later ones at once."""
-    ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
+    An index from shingles to rows counts what each row shares with all others at once."""
     sets = rows.column("shingles")
-    size = np.diff(sets.offsets.to_numpy())
+    size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     kinds, codes = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
     ends = np.cumsum(size)
-    owner = np.repeat(np.arange(len(ids)), size)
+    owner = np.repeat(np.arange(len(size)), size)
     by_kind = np.argsort(codes, kind="stable")
     holders, first = owner[by_kind], np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(kinds)))])
-    parts = Parts(ids)
-    for i in range(len(ids) - 1):
+
+    def alike(i: int, others: np.ndarray) -> np.ndarray:
         own = codes[ends[i] - size[i]: ends[i]]
         lengths = first[own + 1] - first[own]
         steps = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        shared = np.bincount(holders[np.repeat(first[own], lengths) + steps], minlength=len(ids))
-        similar = 100 * shared >= percent * (size[i] + size - shared)
-        parts.join(i, np.flatnonzero(similar[i + 1:]) + i + 1)
-    return parts.links()
+        shared = np.bincount(holders[np.repeat(first[own], lengths) + steps], minlength=len(size))[others]
+        return 100 * shared >= percent * (size[i] + size[others] - shared)
+
+    return joining_links(rows, part, asked, alike)
 
 
 def near_duplicates(
@@ -182,18 +177,15 @@ def near_duplicates(
     # Documents that share a bucket and whose sketches allow the similarity fall into one cluster.
     buckets = reps.select("doc_id", F.explode("bands").alias("band"))
     full = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = buckets.join(full, "band").join(reps.select("doc_id", "sketch"), "doc_id")
-    split = in_blocks(members, "band", F.ceil(F.col("n") / BLOCK_ROWS), F.xxhash64("doc_id")).select(
-        "group", "doc_id", "sketch")
+    members = durable(buckets.join(full, "band").join(reps.select("doc_id", "sketch"), "doc_id").select(
+        "band", F.col("doc_id").alias("id"), "sketch"))
     ones = most_ones(percent / 100)
-    clusters = durable(components(map_groups(
-        split, lambda rows: _plausible_links(rows, ones), "a long, b long").distinct()))
+    clusters = durable(components(linked_within(
+        members, "band", F.lit(1), BLOCK_ROWS, lambda rows, part, asked: _plausible_links(rows, part, asked, ones)).distinct()))
     # Within a cluster the full sets decide.
     sets = durable(shingle_sets(docs.join(clusters.withColumnRenamed("node", "doc_id"), "doc_id"), width))
-    weight = sets.groupBy("component").agg(F.sum(F.size("shingles")).alias("n"))
-    split = in_blocks(sets.join(weight, "component"), "component", F.ceil(F.col("n") / BLOCK_SHINGLES),
-                      F.xxhash64("doc_id")).select("group", "doc_id", "shingles")
-    links = map_groups(split, lambda rows: _exact_links(rows, percent), "a long, b long")
+    links = linked_within(sets.withColumnRenamed("doc_id", "id"), "component", F.size("shingles"), BLOCK_SHINGLES,
+                          lambda rows, part, asked: _exact_links(rows, part, asked, percent))
     # An id of several texts links their classes. Other copies are no part of the graph, but follow the
     # document that stands for them.
     several = named.join(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "doc_id")
