@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from airspan.operators.lags import add_lags
-from airspan.operators.median import group_median
+from airspan.operators.median import bracketed_median, group_median, ranked_median
 from airspan.operators.order import page, with_row_number
 from airspan.plans.features import fill_medians
 
@@ -34,6 +34,19 @@ def test_ranked_median(spark):
     assert same(group_median(df, [], ["a", "b", "c"]), group_median(df, [], ["a", "b", "c"], 0))
 
 
+def test_bracketed_median_in_rounds(spark):
+    """Groups of very different sizes, many equal values, NaN, and brackets that miss the middle."""
+    rows = spark.range(60000).select(
+        F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 5).alias("s"),
+        F.rand(3).alias("a"), F.floor(F.rand(4) * 3).alias("b"), F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.rand(5)).alias("c"))
+    df = spark.createDataFrame(rows.collect(), rows.schema)
+    plain = group_median(df, ["s"], ["a", "b", "c"])
+    for width in (0.01, 0.2, 0.0):
+        assert same(plain, bracketed_median(df, ["s"], ["a", "b", "c"], 1000, width))
+    assert same(group_median(df, [], ["a", "c"]), bracketed_median(df, [], ["a", "c"], 1000))
+    assert same(plain, ranked_median(df, ["s"], ["a", "b", "c"]))
+
+
 def test_median_with_null_key(spark):
     df = skewed(spark).withColumn("s", F.when(F.col("s") > 5, F.col("s")))
     assert same(group_median(df, ["s"], ["a"]), group_median(df, ["s"], ["a"], 0))
