@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the files deleted of shuffles that no frame refers to any more. Spark finds them only when the driver's memory
+    is cleaned up, which a driver with little to do puts off while the disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so a lost executor costs nothing."""
     checkpoint_root(df.sparkSession)
