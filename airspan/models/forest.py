@@ -19,6 +19,7 @@ import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 from functools import partial
+from heapq import heappop, heappush
 from math import e, factorial, frexp
 
 import numpy as np
@@ -34,8 +35,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Distinct values of a feature that get a bin each; features with more get so many bins of equal counts.
 BINS = 4096
-# Rows of a node that one task grows on its own, and rows that it takes on together.
-NODE_ROWS, TASK_ROWS = 200_000, 400_000
+# Rows times features of a node that one task grows on its own, and of all nodes that it takes on together.
+NODE_CELLS, TASK_CELLS = 4_000_000, 2_000_000
 # Bits of an output as a whole number, so that sums over millions of rows are exact in floating point.
 BITS = 30
 # Rows of a packed block, cells that a task holds, and bytes of trees that a task of a prediction holds.
@@ -56,6 +57,30 @@ class Growth:
     features: int | None = None
     random_cuts: bool = False
     seed: int = 42
+    #: added to the weight of a leaf, whose mean it draws to nought; a split must then lower the error by more than it costs
+    penalty: float = 0.0
+    #: shares of the features and of the rows that are drawn, without replacement
+    columns: float = 1.0
+    rows: float = 1.0
+    #: share of the rows that is never trained on, and the seed that draws it
+    held: float = 0.0
+    held_seed: int = 0
+
+    def allowed(self, columns: int) -> np.ndarray:
+        """Which features are drawn: the first by a hash of their numbers."""
+        draw = _mixed(_seeded(self.seed, 9) + _mixed(np.arange(columns, dtype=np.uint64) + np.uint64(1)))
+        out = np.zeros(columns, bool)
+        out[np.argsort(draw, kind="stable")[: max(1, round(self.columns * columns))]] = True
+        return out
+
+    def weights(self, keys: np.ndarray, tree: int) -> np.ndarray:
+        """How often each row counts in a tree."""
+        w = times_drawn(keys, self.seed, tree) if self.bootstrap else np.ones(len(keys))
+        if self.rows < 1:
+            w[share_of(keys, self.seed, 8) >= self.rows] = 0
+        if self.held:
+            w[share_of(keys, self.held_seed, 7) < self.held] = 0
+        return w
 
     def different(self) -> int:
         """Without any drawing all trees are the same one, which is grown once."""
@@ -128,9 +153,14 @@ def _seeded(seed: int, number: int) -> np.ndarray:
     return _mixed(_mixed(np.array([seed], np.uint64)) + np.uint64(number + 1))
 
 
+def share_of(keys: np.ndarray, seed: int, number: int) -> np.ndarray:
+    """A number from 0 to 1 for each row, from a hash of its key."""
+    return _mixed(keys ^ _seeded(seed, number)) / 2.0**64
+
+
 def times_drawn(keys: np.ndarray, seed: int, tree: int) -> np.ndarray:
-    """How often each row is in a tree's sample: Poisson with mean one, from a hash of the row's key."""
-    share = _mixed(keys ^ _seeded(seed, tree)) / 2.0**64
+    """How often each row is in a tree's sample: Poisson with mean one."""
+    share = share_of(keys, seed, tree)
     return np.searchsorted(np.cumsum([1 / (e * factorial(n)) for n in range(16)]), share, "right").astype(np.float64)
 
 
@@ -170,13 +200,15 @@ def add_up(node: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, units:
 
 @dataclass
 class Splits:
-    """For each node 0, 1, ...: its weight and sums, the feature of its best split (-1: none) and the bin."""
+    """For each node 0, 1, ...: its weight and means, the feature of its best split (-1: none) and the bin, and by how much
+    the split lowers the squared error."""
 
     n: np.ndarray
-    sums: np.ndarray
+    means: np.ndarray
     feature: np.ndarray
     cut: np.ndarray
     left_n: np.ndarray
+    gain: np.ndarray
 
 
 def best_splits(cells: Cells, keys: np.ndarray, growth: Growth, bins: Bins, units: np.ndarray) -> Splits:
@@ -207,6 +239,8 @@ def best_splits(cells: Cells, keys: np.ndarray, growth: Growth, bins: Bins, unit
     tried = (left_n >= growth.leaf_rows) & (right_n >= growth.leaf_rows)
     tried[ends[at_feature < first_named]] = False
     tried &= ~named | (cells.bin > 0)
+    if growth.columns < 1:
+        tried &= growth.allowed(columns)[cells.feature]
     varies = begins != ends
     if growth.features:
         # Of the features that vary in the node, the first by their draws.
@@ -236,20 +270,26 @@ def best_splits(cells: Cells, keys: np.ndarray, growth: Growth, bins: Bins, unit
         where = np.flatnonzero(tried & open_[cells.node])
         rest = total[cells.node[where]] - left[where]
         gain = np.full(len(new), -1.0)
-        gain[where] = ((left[where] * units) ** 2).sum(axis=1) / left_n[where] + ((rest * units) ** 2).sum(axis=1) / right_n[where]
+        gain[where] = (((left[where] * units) ** 2).sum(axis=1) / (left_n[where] + growth.penalty)
+                       + ((rest * units) ** 2).sum(axis=1) / (right_n[where] + growth.penalty))
+        without = ((total * units) ** 2).sum(axis=1) / (total_n + growth.penalty)
     # The best of each segment, then the first feature that has the best of the node.
     most = np.maximum.reduceat(gain, begins)
     table = np.full((n_nodes, columns), -1.0)
     table[at_node, at_feature] = most
     best = table.argmax(axis=1)
     found = table[np.arange(n_nodes), best] >= 0
+    if growth.penalty:
+        found &= table[np.arange(n_nodes), best] > without * (1 + 1e-12)
     segment = np.zeros((n_nodes, columns), np.int64)
     segment[at_node, at_feature] = np.arange(len(begins))
     segment = segment[np.arange(n_nodes), best]
     cell = np.flatnonzero(gain == most[of])
     first = cell[np.searchsorted(of[cell], segment)]
     feature = np.where(found, best, -1).astype(np.int16)
-    return Splits(total_n, total, feature, np.where(found, cells.bin[first], 0).astype(np.int16), np.where(found, left_n[first], 0))
+    means = total * units / np.maximum(total_n + growth.penalty, 1e-300)[:, None]
+    return Splits(total_n, means, feature, np.where(found, cells.bin[first], 0).astype(np.int16), np.where(found, left_n[first], 0),
+                  np.where(found, table[np.arange(n_nodes), best] - without, 0.0))
 
 
 def goes_right(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, first_named: int) -> np.ndarray:
@@ -281,8 +321,42 @@ class Tree:
         return -1 - self.left[at]
 
 
+@dataclass
+class Grown:
+    """A tree with the means of all its nodes, and what each split gains."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    means: np.ndarray
+    gain: np.ndarray
+
+    def tree(self, leaves: int | None = None) -> Tree:
+        """The whole tree, or that of the best splits: with a bound on the leaves, the node is split next whose split
+        gains most, as if it had been grown so. A node's split does not depend on the order."""
+        split = self.left >= 0
+        if leaves is not None:
+            open_, split, left = [(-self.gain[0], 0)] if split[0] else [], np.zeros(len(split), bool), leaves - 1
+            while open_ and left > 0:
+                node = heappop(open_)[1]
+                split[node], left = True, left - 1
+                for child in (self.left[node], self.left[node] + 1):
+                    if self.left[child] >= 0:
+                        heappush(open_, (-self.gain[child], int(child)))
+        # Both children of a node follow each other, and those of the first nodes come first.
+        at, links = [0], []
+        for node in at:
+            links.append(len(at) if split[node] else -1)
+            if split[node]:
+                at += [int(self.left[node]), int(self.left[node]) + 1]
+        at, links = np.array(at), np.array(links, np.int32)
+        ends = links < 0
+        links[ends] = -1 - np.arange(ends.sum())
+        return Tree(np.where(ends, -1, self.feature[at]).astype(np.int16), self.cut[at], links, self.means[at][ends])
+
+
 def grow(root: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, keys: np.ndarray, depths: np.ndarray,
-         growth: Growth, bins: Bins, units: np.ndarray) -> list[Tree]:
+         growth: Growth, bins: Bins, units: np.ndarray) -> list[Grown]:
     """The trees below the roots 0, 1, ... that rows belong to, all levels of all of them together."""
     n_roots, first_named = len(keys), len(bins.ordered)
     node, owner, place, depth = root.astype(np.int64), np.arange(n_roots), np.zeros(n_roots, np.int64), depths.copy()
@@ -299,7 +373,7 @@ def grow(root: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, keys: np
         rank -= rank[np.minimum(first, len(rank) - 1)][owner]
         left = np.where(cut, size[owner] + 2 * rank, -1)
         size += 2 * np.bincount(owner, cut, n_roots).astype(np.int64)
-        found.append((owner, place, splits.feature, splits.cut, left, splits.sums * units / splits.n[:, None]))
+        found.append((owner, place, splits.feature, splits.cut, left, splits.means, splits.gain))
         stays = cut[node]
         to = np.cumsum(stays) - 1
         sorted_ = [to[order[stays[order]]] for order in sorted_]
@@ -309,14 +383,9 @@ def grow(root: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, keys: np
         pair = lambda a, b: np.stack([a[cut], b[cut]], axis=1).reshape(-1, *a.shape[1:])
         owner, place = np.repeat(owner[cut], 2), pair(left, left + 1)
         keys, depth = pair(child_keys(keys, 0), child_keys(keys, 1)), np.repeat(depth[cut] + 1, 2)
-    owner, place, feature, cut, left, value = (np.concatenate(p) for p in zip(*found))
+    owner, place, *columns = (np.concatenate(p) for p in zip(*found))
     order = np.lexsort((place, owner))
-    out = []
-    for part in np.split(order, np.cumsum(size)[:-1]):
-        leaf, links = feature[part] < 0, left[part].copy()
-        links[leaf] = -1 - np.arange(leaf.sum())
-        out.append(Tree(feature[part].astype(np.int16), cut[part], links.astype(np.int32), value[part][leaf]))
-    return out
+    return [Grown(*(c[part] for c in columns)) for part in np.split(order, np.cumsum(size)[:-1])]
 
 
 # Rows in blocks
@@ -332,6 +401,9 @@ class Packed:
     units: np.ndarray
     n_rows: int
 
+    def rows_of(self, cells: int) -> int:
+        return max(1, cells // len(self.bins.columns()))
+
 
 def pack(rows: DataFrame, bins: Bins, outputs: Sequence[str], key: Sequence[str]) -> Packed:
     """Blocks of the rows that have all features and outputs. ``key`` names the columns that tell rows apart."""
@@ -415,9 +487,7 @@ class Plan:
         return self.groups[tree // self.each]
 
     def weights(self, keys: np.ndarray, tree: int) -> np.ndarray:
-        if not self.growth.bootstrap:
-            return np.ones(len(keys))
-        return times_drawn(keys, self.growth.seed, tree % self.each)
+        return self.growth.weights(keys, tree % self.each)
 
     def key(self, tree: int) -> np.ndarray:
         return _seeded(self.growth.seed + 1, tree % self.each)
@@ -466,17 +536,18 @@ def _level(packed: Packed, plan: Plan, tops: dict[int, Top], keys: dict[tuple[in
                               col["bin"][order][take].astype(np.int16), col["n"][order][take].astype(np.float64), sums[take], col["squares"][order][take])
                 unit = units[list(plan.groups[group])] if own is None else own
                 splits = best_splits(cells, np.array([keys[(int(c >> 32), int(c & 0xFFFFFFFF))] for c in known[here]], np.uint64), growth, bins, unit)
-                parts.append((known[here], splits, unit))
-            for codes, s, unit in parts:
+                parts.append((known[here], splits))
+            for codes, s in parts:
                 yield pa.RecordBatch.from_arrays([
                     pa.array((codes >> 32).astype(np.int32)), pa.array((codes & 0xFFFFFFFF).astype(np.int32)), pa.array(s.feature.astype(np.int32)),
                     pa.array(s.cut.astype(np.int32)), pa.array(s.n), pa.array(s.left_n),
-                    pa.array((s.sums * unit / s.n[:, None]).tolist(), pa.list_(pa.float64()))], ["tree", "node", "feature", "cut", "n", "left_n", "mean"])
+                    pa.array(s.means.tolist(), pa.list_(pa.float64())), pa.array(s.gain)],
+                    ["tree", "node", "feature", "cut", "n", "left_n", "mean", "gain"])
 
     cells = packed.blocks.mapInArrow(count, kinds).groupBy("tree", "node", "feature", "bin").agg(
         *[F.sum(c).alias(c) for c in names[4:]])
     return cells.repartition("tree", "node").sortWithinPartitions("tree", "node").mapInArrow(
-        choose, "tree int, node int, feature int, cut int, n double, left_n double, mean array<double>").collect()
+        choose, "tree int, node int, feature int, cut int, n double, left_n double, mean array<double>, gain double").collect()
 
 
 def _tops(packed: Packed, plan: Plan, node_rows: int) -> tuple[dict[int, Top], dict[int, dict[int, tuple[int, int]]]]:
@@ -514,8 +585,9 @@ def _tops(packed: Packed, plan: Plan, node_rows: int) -> tuple[dict[int, Top], d
     return tops, about
 
 
-def fit_trees(packed: Packed, plan: Plan, node_rows: int = NODE_ROWS, task_rows: int = TASK_ROWS) -> tuple[DataFrame, dict[int, Top]]:
+def fit_trees(packed: Packed, plan: Plan, node_rows: int | None = None, task_rows: int | None = None) -> tuple[DataFrame, dict[int, Top]]:
     """((tree, node, size, feature, cut, left, value), upper parts): what tasks grow below each node of an upper part."""
+    node_rows, task_rows = node_rows or packed.rows_of(NODE_CELLS), task_rows or packed.rows_of(TASK_CELLS)
     tops, about = _tops(packed, plan, node_rows)
     width, n_out, first_named = len(packed.bins.columns()), len(packed.outputs), len(packed.bins.ordered)
     spark = packed.blocks.sparkSession
@@ -552,9 +624,9 @@ def fit_trees(packed: Packed, plan: Plan, node_rows: int = NODE_ROWS, task_rows:
                 out = list(plan.groups[group])
                 root = np.repeat(np.searchsorted(mine, slot[take]), rows.column("n").to_numpy()[take])
                 places = [roots.value[int(c >> 32)][int(c & 0xFFFFFFFF)] for c in known[mine]]
-                grown = grow(root, np.frombuffer(x, np.int16).reshape(-1, width), np.frombuffer(y, np.int32).reshape(-1, len(out)).astype(np.float64),
+                grown = [g.tree() for g in grow(root, np.frombuffer(x, np.int16).reshape(-1, width), np.frombuffer(y, np.int32).reshape(-1, len(out)).astype(np.float64),
                              np.frombuffer(w, np.uint8).astype(np.float64), np.array([p[0] for p in places], np.uint64),
-                             np.array([p[1] for p in places]), growth, bins, units[out])
+                             np.array([p[1] for p in places]), growth, bins, units[out])]
                 yield pa.RecordBatch.from_arrays([
                     pa.array((known[mine] >> 32).astype(np.int32)), pa.array((known[mine] & 0xFFFFFFFF).astype(np.int32)),
                     pa.array([len(t.left) for t in grown], pa.int64()), *[pa.array([getattr(t, c).tobytes() for t in grown], pa.binary())
@@ -584,7 +656,7 @@ class ForestModel:
     @classmethod
     def fit(cls, rows: DataFrame, ordered: Sequence[str], outputs: Sequence[str], key: Sequence[str], growth: Growth,
             named: dict[str, Sequence[str]] | None = None, together: bool = True, packed: Packed | None = None,
-            node_rows: int = NODE_ROWS, task_rows: int = TASK_ROWS) -> "ForestModel":
+            node_rows: int | None = None, task_rows: int | None = None) -> "ForestModel":
         """``together``: one forest whose trees predict all outputs at once, else a forest for each output."""
         packed = packed or pack(rows, fit_bins(rows, ordered, named), outputs, key)
         all_ = tuple(range(len(outputs)))
