@@ -1,5 +1,5 @@
-"""Queries that train and apply models: forests at their own settings, the others with few trees and rounds. Predictions
-have no SQL twin, but for those that must be means of rows."""
+"""Queries that train and apply models, at their own settings but for AdaBoost, stacks and grids, which are cut to few
+trees and rounds. Predictions have no SQL twin, but for those that must be means of rows."""
 
 from __future__ import annotations
 
@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from airspan.catalog.features import frame, multi_frame
 from airspan.catalog.registry import ORACLE, query
-from airspan.models.learners import KNN_MODEL, MULTI_OUTPUT, NEXT_HOUR, NEXT_HOUR_FORESTS, Task, fit_model, quick
+from airspan.models.learners import KNN_MODEL, MULTI_OUTPUT, NEXT_HOUR, Task, quick
 from airspan.models.registry import ALL_TARGETS, load_models, save_model
 from airspan.models.scoring import (
-    ML_NAMES, ML_TARGETS, fit_multi, first_real_against_predicted, multi_split, next_hour_split, predict_multi,
+    ML_NAMES, ML_TARGETS, TOGETHER, fit_multi, fit_next_hour, first_real_against_predicted, multi_split, next_hour_split, predict_multi,
     real_against_predicted, score_multi, score_scenarios, train_multi, train_next_hour,
 )
 from airspan.models.tuning import fit_tuned
@@ -48,7 +48,7 @@ def _train_multi(name: str):
 def _train_next(name: str):
     def run(spark, sf_dir):
         split = next_hour(spark, sf_dir)
-        if name in NEXT_HOUR_FORESTS:
+        if name in TOGETHER:
             return train_next_hour(split, target_columns(split), [name], names=_stations(spark, sf_dir))[1]
         return train_next_hour(split, [TARGET], [name], small=True)[1]
     return run
@@ -79,9 +79,9 @@ def _multi_tree(rows):
     return fit_multi("1. Decision Tree", rows.filter("not is_test"))
 
 
-def _next_models(split):
-    train = split.filter("not is_test")
-    return {t: fit_model("gbr_estandar", quick(Task(train, t))) for t in target_columns(split)}
+def _next_models(split, names):
+    targets = target_columns(split)
+    return dict.fromkeys(targets, fit_next_hour("gbr_estandar", split.filter("not is_test"), targets, names))
 
 
 @query("score_scenarios")
@@ -92,7 +92,7 @@ def score_scenarios_(spark, sf_dir):
         F.pmod("o_orderkey", F.lit(24)).cast("int").alias("hour"),
         F.weekday("o_orderdate").alias("dayofweek"), F.month("o_orderdate").alias("month"))
     return score_scenarios(
-        _next_models(next_hour(spark, sf_dir)), scenarios, frame(spark, sf_dir), _stations(spark, sf_dir))
+        _next_models(next_hour(spark, sf_dir), _stations(spark, sf_dir)), scenarios, frame(spark, sf_dir), _stations(spark, sf_dir))
 
 
 @query("score_multi")
@@ -133,7 +133,7 @@ def real_vs_pred_next_hour(spark, sf_dir):
     """The first rows with all columns, every target."""
     split = next_hour(spark, sf_dir)
     parts = [first_real_against_predicted(model, split, t, ["Estacion", "datetime"]).withColumn("target", F.lit(t))
-             for t, model in _next_models(split).items()]
+             for t, model in _next_models(split, _stations(spark, sf_dir)).items()]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -274,3 +274,27 @@ class BoostedModel:
     def load(cls, spark: SparkSession, path: str) -> "BoostedModel":
         about = json.loads(spark.read.text(f"{path}/about").first()["value"])
         return cls([_read(b) for b in about["boosters"]], about["units"], Bins(**about["bins"]), about["outputs"])
+
+
+class MeanModel:
+    """The mean of what several models predict for the same outputs."""
+
+    def __init__(self, models: list[BoostedModel]):
+        self.models, self.bins, self.outputs = models, models[0].bins, models[0].outputs
+
+    def transform(self, df: DataFrame, output: str = "predictions") -> DataFrame:
+        for i, model in enumerate(self.models):
+            df = model.transform(df, f"{output}_{i}")
+        parts = [F.col(f"{output}_{i}") for i in range(len(self.models))]
+        mean = F.array(*[sum((p[k] for p in parts[1:]), parts[0][k]) / len(parts) for k in range(len(self.outputs))])
+        return df.withColumn(output, mean).drop(*[f"{output}_{i}" for i in range(len(parts))])
+
+    def save(self, path: str) -> None:
+        for i, model in enumerate(self.models):
+            model.save(f"{path}/part={i}")
+        SparkSession.getActiveSession().createDataFrame([(str(len(self.models)),)], "value string").write.mode("overwrite").text(f"{path}/parts")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "MeanModel":
+        n = int(spark.read.text(f"{path}/parts").first()["value"])
+        return cls([BoostedModel.load(spark, f"{path}/part={i}") for i in range(n)])

@@ -15,6 +15,7 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame, functions as F
 
+from airspan.models.boosting import Boosting
 from airspan.models.forest import Growth
 from airspan.plans.features import contiguous_folds
 from airspan.session import checkpoint_root, durable
@@ -228,6 +229,17 @@ MULTI_OUTPUT: dict[str, Growth] = {
 }
 KNN_MODEL = "4. Bagging (KNN)"
 NEXT_HOUR_FORESTS: dict[str, Growth] = {"rf": Growth(trees=300, bootstrap=True, leaf_rows=2)}
+NEXT_HOUR_BOOSTED: dict[str, Boosting] = {
+    "gbr": Boosting(rounds=300, rate=0.05),
+    "xgb": Boosting(rounds=300, rate=0.05, depth=4, penalty=1.0, rows=0.9, columns=0.9),
+    "gbr_estandar": Boosting(),
+    "gbr_shrinkage": Boosting(rounds=500, rate=0.05),
+    "gbr_early": Boosting(rounds=400, rate=0.05, patience=5),
+    "gbr_stochastic": Boosting(rounds=400, rate=0.05, rows=0.7),
+    "hist_gbrt": Boosting(rounds=100, rate=0.05, depth=8, leaves=31, leaf_rows=20),
+}
+VOTING = {"voting_simple": ("gbr_estandar", "gbr_shrinkage", "hist_gbrt")}
+# The same models as Spark ML pipelines for one target, which stacks are made of.
 
 NEXT_HOUR: dict[str, Fit] = {
     "rf": _fit(forest_estimator, trees=300, minInstancesPerNode=2),

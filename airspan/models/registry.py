@@ -7,13 +7,14 @@ import re
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession, functions as F
 
+from airspan.models.boosting import BoostedModel, MeanModel
 from airspan.models.forest import ForestModel
 from airspan.models.knn import NearestModel
 from airspan.sinks.writers import stored_or_none
 
 ALL_TARGETS = "all"
 # Models with files of their own.
-KINDS = {"nearest": NearestModel, "forest": ForestModel}
+KINDS = {"nearest": NearestModel, "forest": ForestModel, "boosted": BoostedModel, "mean": MeanModel}
 
 
 def _folder(text: str) -> str:
@@ -21,7 +22,7 @@ def _folder(text: str) -> str:
 
 
 def save_model(
-    spark: SparkSession, root: str, algorithm: str, target: str, model: PipelineModel | NearestModel | ForestModel
+    spark: SparkSession, root: str, algorithm: str, target: str, model: PipelineModel | NearestModel | ForestModel | BoostedModel | MeanModel
 ) -> str:
     """Saves the model and notes it in the index, where the last note of a name counts."""
     path = f"{root}/algorithm={_folder(algorithm)}/target={_folder(target)}"
@@ -34,7 +35,7 @@ def save_model(
     return path
 
 
-def load_models(spark: SparkSession, root: str) -> dict[str, dict[str, PipelineModel | NearestModel | ForestModel]]:
+def load_models(spark: SparkSession, root: str) -> dict[str, dict[str, object]]:
     """algorithm -> target -> model. One that cannot be read is left out."""
     index = stored_or_none(spark, f"{root}/index")
     if index is None:

@@ -10,10 +10,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from airspan.functions.texts import target_label
+from airspan.models.boosting import BoostedModel, MeanModel
 from airspan.models.forest import ForestModel
 from airspan.models.knn import NearestModel
 from airspan.models.learners import (
-    FEATURES, KNN_MODEL, MULTI_OUTPUT, NEXT_HOUR_FORESTS, PREDICTION, Task, fit_model, quick,
+    FEATURES, KNN_MODEL, MULTI_OUTPUT, NEXT_HOUR_BOOSTED, NEXT_HOUR_FORESTS, PREDICTION, VOTING, Task, fit_model, quick,
 )
 from airspan.operators.metrics import multi_output_metrics, regression_metrics
 from airspan.operators.order import first_complete_rows
@@ -53,8 +54,8 @@ def train_next_hour(
     fitted: dict = {}
     scored = []
     for name in models:
-        if name in NEXT_HOUR_FORESTS:
-            model = fit_next_hour_forest(name, train, targets, names, station)
+        if name in TOGETHER:
+            model = fit_next_hour(name, train, targets, names, station)
             fitted[name] = {t: model for t in targets}
             scored.append(long_scored(model, name, test, targets))
             continue
@@ -66,13 +67,23 @@ def train_next_hour(
     return fitted, regression_metrics(reduce(DataFrame.unionByName, scored))
 
 
-def fit_next_hour_forest(name: str, train: DataFrame, targets: Sequence[str], names: Sequence[str], station: str = "Estacion") -> ForestModel:
-    """A forest for each target, all grown at once."""
+# Next-hour models that are fitted for all targets at once.
+TOGETHER = (*NEXT_HOUR_FORESTS, *NEXT_HOUR_BOOSTED, *VOTING)
+
+
+def fit_next_hour(
+    name: str, train: DataFrame, targets: Sequence[str], names: Sequence[str], station: str = "Estacion",
+) -> ForestModel | BoostedModel | MeanModel:
+    """One of ``TOGETHER``: trees of their own for each target, all on the same binned rows."""
+    if name in VOTING:
+        return MeanModel([fit_next_hour(part, train, targets, names, station) for part in VOTING[name]])
     ordered = [c for c in feature_columns(train) if c not in (FEATURES, "is_test")]
-    return ForestModel.fit(train, ordered, targets, ["row_no"], NEXT_HOUR_FORESTS[name], {station: names}, together=False)
+    if name in NEXT_HOUR_FORESTS:
+        return ForestModel.fit(train, ordered, targets, ["row_no"], NEXT_HOUR_FORESTS[name], {station: names}, together=False)
+    return BoostedModel.fit(train, ordered, targets, ["row_no"], NEXT_HOUR_BOOSTED[name], {station: names})
 
 
-def long_scored(model: ForestModel, name: str, rows: DataFrame, targets: Sequence[str]) -> DataFrame:
+def long_scored(model: ForestModel | BoostedModel | MeanModel, name: str, rows: DataFrame, targets: Sequence[str]) -> DataFrame:
     """(target, model, y, pred) of a model that answers for several targets."""
     answered = model.transform(rows.select(*model.bins.columns(), *[F.col(name_col(t)).cast("double").alias(f"_y{i}") for i, t in enumerate(targets)]))
     at = {t: i for i, t in enumerate(model.outputs)}
@@ -141,17 +152,23 @@ def scenario_rows(scenarios: DataFrame, frame: DataFrame, station: str = "Estaci
 
 
 def score_scenarios(
-    models: Mapping[str, PipelineModel], scenarios: DataFrame, frame: DataFrame, names: Sequence[str],
+    models: Mapping[str, PipelineModel | BoostedModel], scenarios: DataFrame, frame: DataFrame, names: Sequence[str],
     station: str = "Estacion",
 ) -> DataFrame:
-    """Long result: a row per scenario and target."""
-    rows = assemble(scenario_rows(scenarios, frame, station), feature_columns(frame), station, names)
+    """Long result: a row per scenario and target. Models of all targets are asked once."""
+    rows = scenario_rows(scenarios, frame, station)
     keep = [c for c in scenarios.columns]
-    parts = [
-        model.transform(rows).select(
-            *keep, F.lit(target).alias("target"), target_label(F.lit(target)).alias("label"),
-            F.col(PREDICTION).alias("prediction"))
-        for target, model in models.items()]
+    parts = []
+    for model in dict.fromkeys(models.values()):
+        own = [t for t in models if models[t] is model]
+        if isinstance(model, PipelineModel):
+            answered = model.transform(assemble(rows, feature_columns(frame), station, names))
+            entries = [F.struct(F.lit(t).alias("target"), F.col(PREDICTION).alias("prediction")) for t in own]
+        else:
+            answered = model.transform(rows, "_all")
+            entries = [F.struct(F.lit(t).alias("target"), F.col("_all")[model.outputs.index(t)].alias("prediction")) for t in own]
+        parts.append(answered.select(*keep, F.inline(F.array(*entries))).select(
+            *keep, "target", target_label(F.col("target")).alias("label"), "prediction"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -167,8 +184,11 @@ def real_against_predicted(predicted: DataFrame, target: str, pred: str = PREDIC
 
 
 def first_real_against_predicted(
-    model: PipelineModel, split: DataFrame, target: str, order: Sequence[str], n: int = 400
+    model: PipelineModel | BoostedModel, split: DataFrame, target: str, order: Sequence[str], n: int = 400
 ) -> DataFrame:
     """The first complete rows of the frame, real against predicted."""
     rows = first_complete_rows(split, [FEATURES, target], order, n)
-    return real_against_predicted(model.transform(rows), target)
+    if isinstance(model, PipelineModel):
+        return real_against_predicted(model.transform(rows), target)
+    answered = model.transform(rows.drop(FEATURES), "_all")
+    return real_against_predicted(answered.withColumn(PREDICTION, F.col("_all")[model.outputs.index(target)]), target)
