@@ -9,7 +9,7 @@ from airspan.catalog.registry import (
 )
 from airspan.functions.numbers import clean_number, commas_to_dots_if_digits, commas_to_dots_if_number
 from airspan.operators.dedup import one_per_key, unseen_rows
-from airspan.plans.cleaning import clean_readings
+from airspan.plans.cleaning import clean_readings, numbered_clean
 from airspan.plans.loading import load
 from airspan.schemas import RAW_KEY, STATIONS
 from airspan.session import durable
@@ -78,6 +78,13 @@ def _clean(spark, sf_dir):
     return clean(spark, sf_dir)
 
 
+@query("clean_row_order", with_sql(
+    """SELECT * EXCLUDE (user_id, bucket), row_number() OVER (ORDER BY "Estacion", "Fecha", "Hora") - 1 AS row_no FROM clean""",
+    _CLEAN_SQL))
+def clean_row_order(spark, sf_dir):
+    return numbered_clean(clean(spark, sf_dir))
+
+
 @query("load_measurements", with_sql(
     """SELECT ids.id::INTEGER AS station_id, bucket AS ts, "PM 2.5" AS pm2_5, "PM 10" AS pm10,
               "SO2" AS so2, "NO2" AS no2, "O3" AS o3, "CO" AS co

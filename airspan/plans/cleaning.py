@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from airspan.functions.numbers import clean_number, negative_to_null, strip_quotes
 from airspan.operators.dedup import one_per_key
 from airspan.operators.fields import conform, drop_empty_rows, rename
+from airspan.operators.order import with_row_number
 from airspan.schemas import CLEAN_COLUMNS, CLEAN_POLLUTANTS, RAW_KEY, RENAMED, name_col
 from airspan.sources.readers import ROW_ORDER
 
@@ -29,3 +30,8 @@ def clean_readings(raw: DataFrame, compat: bool = False, order: str = ROW_ORDER)
 def sorted_clean(clean: DataFrame) -> DataFrame:
     """By station, then date and time as text; only where the order of the output matters."""
     return clean.orderBy(*RAW_KEY)
+
+
+def numbered_clean(clean: DataFrame) -> DataFrame:
+    """Adds ``row_no``, each row's place in the order of ``sorted_clean``."""
+    return with_row_number(clean, RAW_KEY, "row_no")
