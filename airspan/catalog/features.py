@@ -77,6 +77,12 @@ def lags_next_hour(spark, sf_dir):
     return frame(spark, sf_dir)
 
 
+@query("frame_without_empty_columns", with_sql("SELECT * FROM frame", *_FRAME))
+def frame_without_empty_columns(spark, sf_dir):
+    """A pollutant that no row has a value of leaves no column behind, and costs no row."""
+    return f.next_hour_frame(sample.named_measurements(spark, sf_dir).withColumn("NH3", F.lit(None).cast("double")))
+
+
 @query("split_sequential", with_sql(
     """SELECT "Estacion", datetime, row_number() OVER (ORDER BY "Estacion", datetime) - 1 AS row_no,
               row_number() OVER (ORDER BY "Estacion", datetime) - 1
