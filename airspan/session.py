@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,8 +52,9 @@ def remove(spark: SparkSession, path: str) -> None:
 def let_go(spark: SparkSession) -> None:
     """Has the files deleted of shuffles that no frame refers to any more. Spark finds them only when the driver's memory
     is cleaned up, which a driver with little to do puts off while the disks fill."""
-    spark.range(1).count()  # Spark holds the last job's plan until there is another
     gc.collect()
+    time.sleep(1.5)  # the driver's Python gives its references back once a second
+    spark.range(1).count()  # and Spark holds the last job's until there is another
     spark.sparkContext._jvm.System.gc()
 
 
