@@ -68,3 +68,19 @@ def test_blocks_are_held_by_feature():
     columns, y, key = bins.held(blocks)
     assert isinstance(columns, Columns) and [c.dtype for c in columns.columns] == [np.int16, np.int32]
     assert np.stack(columns.columns, axis=1).tolist() == x.tolist() and y.tolist() == [0, 1, 2] == key.tolist()
+
+
+@pytest.mark.parametrize("growth", [Growth(trees=4, bootstrap=True), Growth(trees=3, random_cuts=True, leaf_rows=3), Growth(trees=3, bootstrap=True, features=1, depth=4)])
+def test_rows_of_a_point_are_added_up_before_trees_grow(spark, monkeypatch, growth):
+    rows = spark.range(900).repartition(4).select(
+        "id", *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(m)).cast("double").alias(c) for i, (c, m) in enumerate(zip("abuv", (9, 11, 30, 50)))])
+    found, dealt = [], []
+    plain = forest._fit_points
+    monkeypatch.setattr(forest, "_fit_points", lambda *args: dealt.append(args[2]) or plain(*args))
+    monkeypatch.setattr(forest, "POINT_ROWS", 200)
+    for points in (None, 10**9):
+        if points:
+            monkeypatch.setattr(forest.Packed, "points", lambda self: points)
+        model = forest.ForestModel.fit(rows, ["a", "b"], ["u", "v"], ["id"], growth)
+        found.append({r["id"]: r["predictions"] for r in model.transform(rows).collect()})
+    assert len(dealt) == 1 and found[0] == found[1]
