@@ -56,6 +56,21 @@ def test_tables_and_orders_give_the_trees_of_sorted_cells(monkeypatch, growth, k
     assert len(found[0][0][0]) > 20
 
 
+def test_rounds_that_draw_other_features_use_the_same_counts():
+    x, y, _, bins = data(800, 1, 4)
+    key = np.random.default_rng(2).integers(0, 1 << 60, 800).astype(np.uint64)
+    setting = boosting.Boosting(rounds=12, columns=0.5, depth=3)
+    made = boosting.boost(Columns([x[:, f] for f in range(5)], 4), y[:, 0].astype(np.int64), key, setting, bins, 2.0**-10)
+    rest = y[:, 0].astype(np.int64) - made.start
+    for round_, tree in enumerate(made.trees):
+        growth = setting.growth(round_)
+        by_cells = forest._together(np.zeros(800, np.int64), x, rest[:, None].astype(float), np.ones(800), boosting.Plan(growth, ((0,),)).key(0),
+                                    np.zeros(1, np.int64), growth, bins, np.array([2.0**-10]))[0].tree()
+        assert tree.feature.tolist() == by_cells.feature.tolist() and tree.left.tolist() == by_cells.left.tolist()
+        assert tree.value.tolist() == setting.steps(by_cells, 2.0**-10).tolist()
+        rest = rest - tree.value[tree.leaf_of(x, 4)]
+
+
 def test_a_task_boosts_as_many_rows_as_the_driver_has():
     assert boosting.TASK_CELLS // 29 > 4_300_000
 
